@@ -51,6 +51,12 @@ def op5_rlz_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremolo.llm.decontaminate import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row_key")
+
+
 def op7_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tremolo.llm.rule_quality import fit_quality, quality_scores
 
@@ -58,6 +64,12 @@ def op7_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tremolo.llm.pii import replace_pii
+
+    return replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_entities")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tremolo.llm.bpe import bpe_digests
 
@@ -70,5 +82,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_warc, op4_minhash, op5_rlz_substrings, op7_rule_quality, op9_bpe, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_warc, op4_minhash, op5_rlz_substrings, op6_templates, op7_rule_quality, op8_surrogates, op9_bpe, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
