@@ -4,7 +4,7 @@ import importlib
 
 from tremolo.plans.registry import ORACLES, QUERIES
 
-for _name in ("signals", "spectra"):
+for _name in ("signals", "spectra", "models", "learning"):
     importlib.import_module(f"tremolo.plans.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]
