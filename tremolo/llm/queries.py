@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremolo.llm import oracles
 from tremolo.llm.base import Workspace
 
 #: The rules that the url query is defined by, and hosts that it lists as spam.
@@ -83,4 +84,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_toxicity, op3_warc, op4_minhash, op5_rlz_substrings, op6_templates, op7_rule_quality, op8_surrogates, op9_bpe, op10_quality_rules)}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op1_url_filter": oracles.url_filter(RULES, BLOCKLIST),
+    "op3_warc": oracles.WARC,
+    "op4_minhash": oracles.MINHASH,
+    "op5_rlz_substrings": oracles.SUBSTRINGS,
+    "op10_quality_rules": oracles.quality_rules(),
+}
