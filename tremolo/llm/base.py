@@ -21,10 +21,26 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8").split() if text else []
 
 
+#: Entries that a Python worker remembers at most, of the one operator that it works for.
+MEMO = 600_000
+_MEMO_IN_USE: list[dict] = []
+
+
+def claim(memo: dict) -> None:
+    """Called as a task starts: what the worker remembers for other operators is forgotten.
+
+    Workers live on from stage to stage, and their memos would add up.
+    """
+    for other in _MEMO_IN_USE:
+        if other is not memo:
+            other.clear()
+    _MEMO_IN_USE[:] = [memo]
+
+
 class WordHasher(dict):
     """word -> 64-bit hash, remembering at most ``limit`` words."""
 
-    def __init__(self, limit: int = 1_000_000):
+    def __init__(self, limit: int = MEMO):
         super().__init__()
         self.limit = limit
 

@@ -13,6 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tremolo.llm.base import MEMO, claim
+
 #: Fixed values of the byte-level scheme: the split pattern, with white space as Unicode defines it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: A place where a piece always ends: a blank between two letters.
@@ -20,7 +22,6 @@ SAFE_CUT = r"(?<=\p{L}) (?=\p{L})"
 BLOCK_CHARS = 1 << 16
 #: Pieces longer than this go through the streaming transducer instead of the merge loop.
 LONG_PIECE = 192
-MEMO_PIECES = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -157,7 +158,7 @@ class ByteBpe:
         if len(raw) > LONG_PIECE:
             return tuple(self.transduce(raw[i : i + 4096] for i in range(0, len(raw), 4096)))
         out = tuple(self.ids[t] for t in self.merge(raw))
-        if len(self.memo) >= MEMO_PIECES:
+        if len(self.memo) >= MEMO:
             self.memo.clear()
         self.memo[piece] = out
         return out
@@ -226,6 +227,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str, *, text: str = "text", key: st
 
     def run(batches):
         model = load(vocabulary)
+        claim(model.memo)
         for batch in batches:
             rows = [_digests(model, x.as_py()) for x in batch.column(1)]
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
@@ -241,6 +243,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, *, text: str = "text", into: st
 
     def run(batches):
         model = load(vocabulary)
+        claim(model.memo)
         for batch in batches:
             at = batch.schema.get_field_index(text)
             ids = pa.array([model.encode(x.as_py()) for x in batch.column(at)], pa.list_(pa.int32()))
@@ -254,6 +257,7 @@ def bpe_decode(docs: DataFrame, vocabulary: str, *, ids: str = "ids", into: str
     """All columns of docs and the text of each array of ids; null and empty arrays give ''."""
     def run(batches):
         model = load(vocabulary)
+        claim(model.memo)
         for batch in batches:
             at = batch.schema.get_field_index(ids)
             out = pa.array([model.decode(x.as_py() or []) for x in batch.column(at)], pa.string())

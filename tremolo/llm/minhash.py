@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.base import WordHasher, Workspace, mix, ngrams
+from tremolo.llm.base import WordHasher, Workspace, claim, mix, ngrams
 
 #: Chance of missing, in all bands, a pair that is exactly as similar as the threshold.
 MISS = 1e-7
@@ -170,6 +170,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     bands, rows = bands_for(threshold[0] / threshold[1])
 
     def sketch(batches):
+        claim(_hasher())
         for batch in batches:
             out = []
             for t in batch.column(1):
@@ -206,6 +207,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     def compare(pdf):
         import pandas as pd
 
+        claim(_hasher())
         pdf = pdf.sort_values(["second", "rep"], kind="stable")
         left = int((~pdf["second"]).sum()) if pdf["second"].any() else 0
         sets = [shingles(t, k) for t in pdf["t"]]

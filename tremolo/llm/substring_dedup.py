@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.base import WordHasher, Workspace, mix, ngrams, words
+from tremolo.llm.base import WordHasher, Workspace, claim, mix, ngrams, words
 
 #: Words of a window, and of the runs among which it picks its anchor.
 LENGTH, RUN = 50, 10
@@ -98,6 +98,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def parse(batches):
+        claim(_hasher())
         for batch in batches:
             out = []
             for t in batch.column(1):
@@ -125,6 +126,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     ws.release()
 
     def windows(batches):
+        claim(_hasher())
         for batch in batches:
             ids, out = [], []
             for i, t, across in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -147,6 +149,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     singles = tried.join(known, "w").where("first < doc_id").groupBy("doc_id").agg(F.collect_set("w").alias("singles"))
 
     def cut(batches):
+        claim(_hasher())
         for batch in batches:
             out = []
             for t, found, _, singles in zip(batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.base import train_fold, words
+from tremolo.llm.base import MEMO, claim, train_fold, words
 from tremolo.llm.fit import lasso_logistic, sigmoid
 
 #: Labelled rows of each class to fit on, at most, and the longest text among them; scoring has no bound.
@@ -27,7 +27,6 @@ LEVEL = 9
 REPEATS = 6
 #: Bytes that don't belong to a word when they stand at its ends.
 TRIM = b".,;:!?\"'()[]{}*#$%&|"
-MEMO_WORDS = 1_000_000
 #: Windows in a training sample, and bytes of a segment of the dictionary.
 PER_SAMPLE, SEGMENT = 16, 48
 
@@ -73,7 +72,7 @@ class ToxicityModel:
 
     def evidence(self, word: bytes) -> float:
         """Log odds of a window if they reach the calibrated threshold, else 0."""
-        if len(self.memo) >= MEMO_WORDS:
+        if len(self.memo) >= MEMO:
             self.memo.clear()
         odds = self.odds.get(self.cell(word), 0.0)
         out = self.memo[word] = odds if odds >= self.least else 0.0
@@ -185,6 +184,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, *, text: str = "text"
 
     def run(batches):
         own = _load(data)
+        claim(own.memo)
         for batch in batches:
             scores = [own.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
@@ -201,6 +201,7 @@ def reject_toxic(docs: DataFrame, model: ToxicityModel, *, text: str = "text", t
 
     def run(batches):
         own = _load(data)
+        claim(own.memo)
         for batch in batches:
             at = batch.schema.get_field_index(text)
             keep = pa.array([own.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_())
