@@ -98,7 +98,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key
     hit = ws.save(hit, "hit")
 
     full = rows.withColumn("row_key", row_key).join(hit, "row_key").select("doc_id", "row_key", tokens(F.col("t")).alias("dt")).withColumn("dc", _canonical(F.col("dt")))
-    every = F.flatten(F.array(*(F.transform(_windows(F.col("dc"), size), lambda x, s=size: F.struct(x["h"].alias("h"), x["p"].alias("p"), F.lit(s).alias("s"))) for size in sizes)))
+    sized = [F.transform(_windows(F.col("dc"), size), lambda x: F.struct(x["h"].alias("h"), x["p"].alias("p"), F.lit(size).alias("s"))) for size in sizes]  # noqa: B023
+    every = F.flatten(F.array(*sized))
     placed = full.select("doc_id", "row_key", "dt", F.explode(every).alias("w")).select("doc_id", "row_key", F.col("w.h").alias("h"), F.col("w.p").alias("dp"), F.slice("dt", F.col("w.p") + 1, F.col("w.s")).alias("dv"))
     met = placed.join(index, "h")
     # Values that stand in the slots of both sides; tokens that aren't slots are equal by hash.
