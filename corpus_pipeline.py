@@ -26,13 +26,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five words, 0.8): that with the least doc_id.
 
-    Rows that repeat a kept doc_id and its text are one document and leave one row; rows without a
-    doc_id stay. Texts without words have no group and all stay.
+    Repeated rows of a kept doc_id and text leave one row; rows that share a doc_id stand or fall
+    together. Rows without a doc_id and texts without words have no group and stay.
+
+    Documents meet the ids that go, as they are fewer than those that stay.
     """
-    keep = near_duplicates(docs.select("doc_id", "text"), k=5, threshold=(80, 100)).where("kept and doc_id is not null and n_shingles > 0").select("doc_id").distinct()
-    keep = Workspace(spark).save(keep, "kept")
-    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)) & F.col("doc_id").isNotNull()
-    return docs.where(worded).join(keep, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]).unionByName(docs.where(~worded))
+    ws = Workspace(spark)
+    found = near_duplicates(docs.select("doc_id", "text"), k=5, threshold=(80, 100)).where("doc_id is not null and n_shingles > 0")
+    decided = ws.save(found.groupBy("doc_id").agg(F.bool_or("kept").alias("keep"), F.count(F.lit(1)).alias("n")), "decided")
+    gone = ws.save(decided.where("not keep").select("doc_id"), "gone")
+    repeated = ws.save(decided.where("keep and n > 1").select("doc_id"), "repeated")
+    once = docs.join(gone, "doc_id", "left_anti").join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
