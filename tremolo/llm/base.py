@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +29,15 @@ MEMO = 600_000
 _MEMO_IN_USE: list[dict] = []
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system, as workers idle between their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def claim(memo: dict) -> None:
     """Called as a task starts: what the worker remembers for other operators is forgotten.
 
@@ -35,6 +47,13 @@ def claim(memo: dict) -> None:
         if other is not memo:
             other.clear()
     _MEMO_IN_USE[:] = [memo]
+    give_back()
+
+
+def tidy(batches: Iterator) -> Iterator:
+    """The batches of a task; when they end, memory that is free goes back to the system."""
+    yield from batches
+    give_back()
 
 
 class WordHasher(dict):

@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tremolo.llm.base import MEMO, claim
+from tremolo.llm.base import MEMO, claim, tidy
 
 #: Fixed values of the byte-level scheme: the split pattern, with white space as Unicode defines it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -228,7 +228,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str, *, text: str = "text", key: st
     def run(batches):
         model = load(vocabulary)
         claim(model.memo)
-        for batch in batches:
+        for batch in tidy(batches):
             rows = [_digests(model, x.as_py()) for x in batch.column(1)]
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -244,7 +244,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, *, text: str = "text", into: st
     def run(batches):
         model = load(vocabulary)
         claim(model.memo)
-        for batch in batches:
+        for batch in tidy(batches):
             at = batch.schema.get_field_index(text)
             ids = pa.array([model.encode(x.as_py()) for x in batch.column(at)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, into])
@@ -258,7 +258,7 @@ def bpe_decode(docs: DataFrame, vocabulary: str, *, ids: str = "ids", into: str
     def run(batches):
         model = load(vocabulary)
         claim(model.memo)
-        for batch in batches:
+        for batch in tidy(batches):
             at = batch.schema.get_field_index(ids)
             out = pa.array([model.decode(x.as_py() or []) for x in batch.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, out], [*batch.schema.names, into])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.base import WordHasher, Workspace, claim, mix, ngrams, words
+from tremolo.llm.base import WordHasher, Workspace, claim, mix, ngrams, words, tidy
 
 #: Words of a window, and of the runs among which it picks its anchor.
 LENGTH, RUN = 50, 10
@@ -99,7 +99,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
 
     def parse(batches):
         claim(_hasher())
-        for batch in batches:
+        for batch in tidy(batches):
             out = []
             for t in batch.column(1):
                 w = words(t.as_py())
@@ -127,7 +127,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
 
     def windows(batches):
         claim(_hasher())
-        for batch in batches:
+        for batch in tidy(batches):
             ids, out = [], []
             for i, t, across in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 h = _hasher().hash(words(t.as_py()))
@@ -150,7 +150,7 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
 
     def cut(batches):
         claim(_hasher())
-        for batch in batches:
+        for batch in tidy(batches):
             out = []
             for t, found, _, singles in zip(batch.column(1), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
                 w = words(t.as_py())

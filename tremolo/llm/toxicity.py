@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.base import MEMO, claim, train_fold, words
+from tremolo.llm.base import MEMO, claim, tidy, train_fold, words
 from tremolo.llm.fit import lasso_logistic, sigmoid
 
 #: Labelled rows of each class to fit on, at most, and the longest text among them; scoring has no bound.
@@ -185,7 +185,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, *, text: str = "text"
     def run(batches):
         own = _load(data)
         claim(own.memo)
-        for batch in batches:
+        for batch in tidy(batches):
             scores = [own.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
@@ -202,7 +202,7 @@ def reject_toxic(docs: DataFrame, model: ToxicityModel, *, text: str = "text", t
     def run(batches):
         own = _load(data)
         claim(own.memo)
-        for batch in batches:
+        for batch in tidy(batches):
             at = batch.schema.get_field_index(text)
             keep = pa.array([own.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_())
             yield batch.filter(keep)
