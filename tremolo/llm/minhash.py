@@ -11,13 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.base import WordHasher, Workspace, claim, mix, ngrams
+from tremolo.llm.base import WordHasher, Workspace, claim, mix, ngrams, tidy
 
 #: Chance of missing, in all bands, a pair that is exactly as similar as the threshold.
 MISS = 1e-7
 MOST_HASHES = 144
 #: Documents of one bucket that one task compares at a time.
 BLOCK = 256
+#: Words of 64 bits in the bitmap of documents that have a bucket in common with another.
+BITMAP_WORDS = 1 << 20
 #: Standard deviations by which the share of equal minima may fall short of the threshold.
 SLACK = 6.0
 
@@ -150,6 +152,19 @@ def components(edges: DataFrame, ws: Workspace, rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
+def _likely(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """The rows of texts without most of those whose rep isn't among members, and without a shuffle.
+
+    A bitmap of hashes tells which; its rows are words of 64 bits, BITMAP_WORDS at most whatever the
+    input, so it can be broadcast. The fuller it is the more rows pass, which the join drops then.
+    """
+    h = F.xxhash64(F.lit(11), "rep")
+    word, bit = F.pmod(F.shiftright(h, 6), F.lit(BITMAP_WORDS)).cast("int"), F.pmod(h, F.lit(64)).cast("int")
+    marks = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    bitmap = members.select(word.alias("word"), marks.alias("mark")).groupBy("word").agg(F.bit_or("mark").alias("marks"))
+    return texts.withColumn("word", word).join(F.broadcast(bitmap), "word").where(F.col("marks").bitwiseAND(marks) != 0).select("rep", "t")
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", k: int = 5, threshold: tuple[int, int] = (80, 100)) -> DataFrame:
     """One row per input row: key as doc_id, n_shingles, component_id and kept.
 
@@ -171,7 +186,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
 
     def sketch(batches):
         claim(_hasher())
-        for batch in batches:
+        for batch in tidy(batches):
             out = []
             for t in batch.column(1):
                 s = shingles(t.as_py(), k)
@@ -191,10 +206,12 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     classes = sketches.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")).where("rep is not null")
     classes = ws.save(classes, "classes")
     banded = classes.select("rep", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("y")).where("size > 1")
+    # Most keys have one document: they go before anything else is known of a bucket.
+    shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = ws.save(banded.join(shared, "band"), "shared")
+    buckets = shared.groupBy("band", "size").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("y"))
     buckets = buckets.groupBy("size", "x", "y").agg(F.min("band").alias("band"))
-    members = banded.join(buckets.select("band", "size"), "band")
-    members = ws.save(members, "members")
+    members = ws.save(shared.join(buckets.select("band"), "band"), "members")
 
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64(F.lit(3), "rep"), blocks).cast("int")
@@ -202,7 +219,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     units = members.select("rep", "band", blocks.alias("blocks"), own.alias("own")).select("rep", "band", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     units = units.select("rep", "band", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("second"))
     # Texts travel to their units, as they are smaller than their sets.
-    work = units.join(source.select(F.col("doc_id").alias("rep"), "t"), "rep").select(F.xxhash64("band", "a", "b").alias("unit"), "rep", "second", "t")
+    work = units.join(_likely(source.select(F.col("doc_id").alias("rep"), "t"), members), "rep").select(F.xxhash64("band", "a", "b").alias("unit"), "rep", "second", "t")
 
     def compare(pdf):
         import pandas as pd
