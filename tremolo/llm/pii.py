@@ -153,25 +153,22 @@ def replace_pii(docs: DataFrame, *, text: str = "text", secret: str = "surrogate
     Null texts stay null; texts without entities stay as they are. Repeated rows stay. Columns keep
     their names and order, whatever they are called; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark)
+    ws = Workspace(docs.sparkSession)
     columns = docs.columns
-    t = F.col(text)
-    rows = docs.withColumn("_pii_row", F.xxhash64(t, F.lit(1)))
-    found = F.col("t")
-    ents = F.when(F.coalesce(found.rlike(SCREEN), F.lit(False)), F.regexp_extract_all(found, F.lit(f"({ANY})"), 1)).otherwise(F.array().cast("array<string>"))
-    texts = rows.select(t.alias("t"), "_pii_row").withColumn("ents", ents).where(F.size("ents") > 0)
-    texts = texts.groupBy("_pii_row").agg(F.first("ents").alias("ents"), F.first("t").alias("t"))
-    texts = ws.save(texts.select("_pii_row", "ents", F.split("t", ANY).alias("between")), "texts")
-    atoms = texts.select("_pii_row", F.posexplode("ents").alias("i", "ent")).select("_pii_row", "i", F.posexplode(_atoms(F.col("ent"))).alias("j", "a")).select("_pii_row", "i", "j", "a.kind", "a.value")
+    t = F.col(f"`{text}`")
+    # Only rows with an entity meet their surrogates; the others pass without a shuffle.
+    hit = F.coalesce(t.rlike(SCREEN) & t.rlike(ANY), F.lit(False))
+    hits = docs.where(hit).withColumn("_pii_row", F.md5(t))
+    ents = hits.select("_pii_row", F.regexp_extract_all(t, F.lit(f"({ANY})"), 1).alias("ents")).groupBy("_pii_row").agg(F.first("ents").alias("ents"))
+    ents = ws.save(ents, "ents")
+    atoms = ents.select("_pii_row", F.posexplode("ents").alias("i", "ent")).select("_pii_row", "i", F.posexplode(_atoms(F.col("ent"))).alias("j", "a")).select("_pii_row", "i", "j", "a.kind", "a.value")
     atoms = ws.save(atoms, "atoms")
     table = surrogates(atoms, secret, ws)
     made = atoms.join(table, ["kind", "value"]).groupBy("_pii_row").agg(F.array_sort(F.collect_list(F.struct("i", "j", "new", "kind"))).alias("made"))
-    made = ws.save(made, "made")
     one = F.transform("ents", lambda e, i: F.concat(F.when(F.filter("made", lambda m: m["i"] == i)[0]["kind"].isin("male", "female", "given", "surname"), F.concat(F.split(e, " ")[0], F.lit(" "))).otherwise(""), F.array_join(F.transform(F.filter("made", lambda m: m["i"] == i), lambda m: m["new"]), " ")))
-    whole = F.array_join(F.zip_with("between", F.col("subs"), lambda b, s: F.concat(b, F.coalesce(s, F.lit("")))), "")
-    new = texts.join(made, "_pii_row").withColumn("subs", one).select("_pii_row", whole.alias("_pii_text"), F.size("ents").alias("_pii_n"))
-    new = ws.save(new, "new")
-    out = rows.join(new, "_pii_row", "left")
-    cols = [F.coalesce("_pii_text", t).alias(c) if c == text else F.col(f"`{c}`") for c in columns]
-    return out.select(*cols, *([F.coalesce("_pii_n", F.lit(0)).alias(count)] if count else []))
+    subs = ws.save(ents.join(made, "_pii_row").select("_pii_row", one.alias("_pii_subs")), "subs")
+    whole = F.array_join(F.zip_with(F.split(t, ANY), F.col("_pii_subs"), lambda b, s: F.concat(b, F.coalesce(s, F.lit("")))), "")
+    cols = lambda new: [new.alias(c) if c == text else F.col(f"`{c}`") for c in columns]
+    number = lambda n: [n.alias(count)] if count else []
+    replaced = hits.join(subs, "_pii_row").select(*cols(whole), *number(F.size("_pii_subs")))
+    return docs.where(~hit).select(*cols(t), *number(F.lit(0))).unionByName(replaced)
