@@ -247,3 +247,21 @@ def test_pipeline_stages(spark, odd, none):
     for name, stage in p.STAGES:
         assert stage(spark, odd, SF).count() == {"near_dedup": 8}.get(name, 12)
         assert stage(spark, none, SF).count() == 0
+
+
+NUMBERS = ["3.75", "1,200", "12:30", "1/2", "-5", "+7", "60 km", "2.5kg", "3rd", "x5", "a1.2", "10-4", ".5", "(7)", "5.", "Apollo11", "é7", "1.2.3,4"]
+
+
+def test_numbers_are_one_slot(spark):
+    from tremolo.llm.decontaminate import _canonical, find_leaks, template, tokens
+
+    r = random.Random(3)
+    texts = [" ".join(r.choices([*NUMBERS, "Paris", "the", "sum,", "of", "--"], k=12)) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(template(F.col("t")) != _canonical(tokens(F.col("t")))).count() == 0
+    forms = ["The value {} is added to {} and the sum is halved", "They start at {} and walk {} of the way before it is too late"]
+    values = [[("3.75", "1,200"), ("4.20", "2,317.5")], [("12:30", "1/2"), ("9:05", "-3/4")]]
+    items = spark.createDataFrame([(i, f.format(*v[0])) for i, (f, v) in enumerate(zip(forms, values, strict=True))], "item_id long, text string")
+    docs = [(10 * i + j, f"So it goes. {f.format(*x)} indeed") for i, (f, v) in enumerate(zip(forms, values, strict=True)) for j, x in enumerate(v)]
+    got = {(r.doc_id, r.item_id, r.n_changed) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
+    assert got == {(0, 0, 0), (1, 0, 2), (10, 1, 0), (11, 1, 2)}

@@ -18,27 +18,34 @@ LEAST_LITERAL = 4
 NUMBER, UNIT, NAME = "\ue000", "\ue001", "\ue002"
 UNITS = "km|cm|mm|m|kg|mg|g|lb|lbs|oz|ml|l|s|ms|min|mins|h|hr|hrs|hours?|minutes?|seconds?|days?|weeks?|months?|years?|miles?|feet|ft|inch|inches|metres?|meters?|mph|kmh|usd|eur|gbp|dollars?|euros?|pounds?|cents?|percent|degrees?|volts?|watts?|kw|kwh|mb|gb|tb|hz|khz|mhz"
 _NUMBER = r"(?<![\p{L}\p{N}])[+-]?[0-9]+(?:[.,:/][0-9]+)*"
-_NAME = r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{L}\p{M}]*"
-_BETWEEN = r"[^\p{L}\p{M}\p{N}\x{E000}-\x{E002}]+"
+_NAME = r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{L}\p{M}\p{N}]*"
+_AFTER = r"(?![\p{L}\p{N}])"
+#: Marks between tokens. Signs and separators of a value stay: a blank is put before each number, so
+#: no others stand after its placeholder or between two digits.
+_BETWEEN = r"[^\p{L}\p{M}\p{N}\x{E000}-\x{E002}.,:/+-]+|(?<![0-9])[.,:/]|[.,:/](?![0-9])|(?<!\x{E000})[+-]"
+
+
+def _marked(text: Column, values: bool) -> Column:
+    """Tokens in lower case, slots being placeholders with or without their values: the cuts are the same."""
+    kept = "$0" if values else ""
+    value, number, unit = (r"([^ ]+)", "$1", "$2") if values else ("()", "", "")
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), _NAME, NAME + kept)
+    t = F.regexp_replace(t, _NUMBER, f" {NUMBER}{kept} ")
+    t = F.regexp_replace(t, f"{NUMBER}{value}  ?({UNITS}){_AFTER}", f"{NUMBER}{number} {UNIT}{unit} ")
+    return F.array_remove(F.split(F.lower(t), _BETWEEN), "")
 
 
 def tokens(text: Column) -> Column:
-    """Tokens in lower case; a slot is its placeholder followed by the value.
+    """Tokens in lower case; a slot is its placeholder followed by the whole value, as 3.75, 1,200, 12:30 or -5.
 
     A name is a capitalised word after a word, a comma or a semicolon and one blank.
     """
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), _NAME, f"{NAME}$0")
-    t = F.regexp_replace(t, rf"({_NUMBER})(?: ?({UNITS})(?![\p{{L}}\p{{N}}]))", f" {NUMBER}$1 {UNIT}$2 ")
-    t = F.regexp_replace(t, rf"(?<![{NUMBER}\p{{L}}\p{{N}}.,:/])({_NUMBER})", f"{NUMBER}$1")
-    return F.array_remove(F.split(F.lower(t), _BETWEEN), "")
+    return _marked(text, True)
 
 
 def template(text: Column) -> Column:
     """As tokens(), a slot being its placeholder alone."""
-    t = F.regexp_replace(F.coalesce(text, F.lit("")), _NAME, NAME)
-    t = F.regexp_replace(t, rf"{_NUMBER}(?: ?(?:{UNITS})(?![\p{{L}}\p{{N}}]))", f" {NUMBER} {UNIT} ")
-    t = F.regexp_replace(t, _NUMBER, NUMBER)
-    return F.array_remove(F.split(F.lower(t), _BETWEEN), "")
+    return _marked(text, False)
 
 
 def _slot(x: Column) -> Column:
