@@ -265,3 +265,17 @@ def test_numbers_are_one_slot(spark):
     docs = [(10 * i + j, f"So it goes. {f.format(*x)} indeed") for i, (f, v) in enumerate(zip(forms, values, strict=True)) for j, x in enumerate(v)]
     got = {(r.doc_id, r.item_id, r.n_changed) for r in find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()}
     assert got == {(0, 0, 0), (1, 0, 2), (10, 1, 0), (11, 1, 2)}
+
+
+def test_windows_of_few_literals_count(spark):
+    from tremolo.llm.decontaminate import find_leaks
+
+    ask = "Compute {} + 7 + 9 + {} + 5 and then divide by 3"
+    far = "we sum 1 2 3 4 5 6 7 8 over all the given parts in turn 1 2 3 4 5 6 7 8 9"
+    items = spark.createDataFrame([(1, ask.format(12, 4)), (2, "1 2 3 4 5 6 7 8 9 and so on"), (3, far)], "item_id long, text string")
+    texts = [ask.format(12, 4), "Say " * 3 + ask.format(31, 6), ask.format(12, 4)[:30], "1 2 3 4 5 6 7 8 9 and so on"]
+    texts += ["x " * k + "3 4 5 6 7 8 over all the given parts in turn" for k in range(7)]  # a run of 13 tokens at any place
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in find_leaks(docs, items).collect()}
+    assert set(got) == {(0, 1), (1, 1)} | {(4 + k, 3) for k in range(7)}
+    assert got[1, 1].n_windows == got[1, 1].item_windows == 4 and got[1, 1].n_changed == 2 and got[1, 1].position == 3

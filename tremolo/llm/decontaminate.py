@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremolo.llm.base import Workspace
+from tremolo.llm.base import Workspace, let
 
 #: Tokens of a window, and tokens of a run that is found wherever it stands in a document.
 WINDOW, RUN = 8, 13
@@ -71,11 +71,12 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key
     item_windows; position of the first matching token; n_slots compared and n_changed that differ.
 
     A match is at least min(RUN - WINDOW + 1, item_windows) windows on one diagonal, in which equal
-    values of the item stand for equal values of the document. Items of fewer than WINDOW tokens
-    match as a whole; items with fewer than LEAST_LITERAL literal tokens in every window match
-    nothing. Null, empty and blank texts match nothing; null keys are reported as they are; repeated
-    rows give repeated matches, and repeated items a row each. Other columns are ignored, and an
-    empty table on either side gives an empty result.
+    values of the item stand for equal values of the document. A diagonal is looked at if one of its
+    windows has LEAST_LITERAL literal tokens; then all of its windows count, whatever they hold.
+    Items of fewer than WINDOW tokens match as a whole; items with fewer than LEAST_LITERAL literal
+    tokens in every window match nothing. Null, empty and blank texts match nothing; null keys are
+    reported as they are; repeated rows give repeated matches, and repeated items a row each. Other
+    columns are ignored, and an empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
     ws = Workspace(spark)
@@ -83,19 +84,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key
     within = tokens(F.concat(F.lit("x "), F.col(item_text)))
     forms = F.array_distinct(F.array(tokens(F.col(item_text)), F.slice(within, 2, F.greatest(F.size(within) - 1, F.lit(0)))))
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item).alias("item_id"), F.explode(forms).alias("it")).where(F.size("it") > 0)
-    items = items.withColumn("ic", _canonical(F.col("it"))).withColumn("n", F.size("ic"))
-    # Lengths of the items say how densely documents must be probed: a few numbers, whatever the sizes.
+    items = items.withColumn("form", F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("-")), "it")).withColumn("ic", _canonical(F.col("it"))).withColumn("n", F.size("ic"))
+    items = items.withColumn("size", F.least(F.lit(WINDOW), "n"))
+    literal = F.transform("ic", lambda x: F.when(_slot(x), 0).otherwise(1))
+    said = let(literal, lambda x: F.transform(F.sequence(F.lit(0), F.col("n") - F.col("size")), lambda p: F.aggregate(F.slice(x, p + 1, F.col("size")), F.lit(0), lambda a, b: a + b) >= LEAST_LITERAL))
+    items = ws.save(items.withColumn("said", said).where(F.array_contains("said", True)), "items")
+    # How densely documents must be probed: a few numbers, whatever the sizes. Any run that has a
+    # window to look for has so many of them in a row at least.
     short = sorted(r.n for r in items.where(F.col("n") < WINDOW).select("n").distinct().collect())
-    least = items.where(F.col("n") >= WINDOW).agg(F.min("n")).first()[0] or RUN
-    stride = max(1, min(RUN, least) - WINDOW + 1)
-    sizes = {WINDOW: stride} | {n: 1 for n in short if n >= LEAST_LITERAL}
+    run = F.least(F.size("said"), F.lit(RUN - WINDOW + 1))
+    row = lambda x: F.aggregate(x, F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")), lambda a, b: let(F.when(b, a["now"] + 1).otherwise(0), lambda c: F.struct(c.alias("now"), F.greatest(a["most"], c).alias("most"))), lambda a: a["most"])
+    rows_of = F.transform(F.sequence(F.lit(1), F.size("said") - run + 1), lambda p: row(F.slice("said", p, run)))
+    stride = items.where(F.col("n") >= WINDOW).select(F.array_min(F.filter(rows_of, lambda x: x > 0)).alias("row")).agg(F.min("row")).first()[0] or 1
+    sizes = {WINDOW: stride} | {n: 1 for n in short}
 
-    parts = [items.where(F.col("n") >= WINDOW if size == WINDOW else F.col("n") == size).select("item_id", "it", "ic", F.lit(size).alias("size"), F.explode(_windows(F.col("ic"), size)).alias("w"), F.greatest(F.col("n") - size + 1, F.lit(1)).alias("item_windows")) for size in sizes]
+    parts = [items.where(F.col("size") == size).select("form", "said", F.explode(_windows(F.col("ic"), size)).alias("w")) for size in sizes]
     index = parts[0]
     for p in parts[1:]:
         index = index.unionByName(p)
-    index = index.select("item_id", F.col("w.h").alias("h"), F.col("w.p").alias("ip"), F.slice("it", F.col("w.p") + 1, F.col("size")).alias("iv"), F.slice("ic", F.col("w.p") + 1, F.col("size")).alias("ic"), "item_windows")
-    index = ws.save(index.where(F.size(F.filter("ic", lambda x: ~_slot(x))) >= LEAST_LITERAL).drop("ic"), "index")
+    index = ws.save(index.where(F.get("said", F.col("w.p"))).select("form", F.col("w.h").alias("h"), F.col("w.p").alias("ip")), "index")
 
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("t"))
     row_key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "t").alias("row_key")
@@ -104,16 +111,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key
     hit = probes.select("row_key", F.explode(probed).alias("h")).join(index.select("h").distinct(), "h", "left_semi").select("row_key").distinct()
     hit = ws.save(hit, "hit")
 
-    full = rows.withColumn("row_key", row_key).join(hit, "row_key").select("doc_id", "row_key", tokens(F.col("t")).alias("dt")).withColumn("dc", _canonical(F.col("dt")))
-    sized = [F.transform(_windows(F.col("dc"), size), lambda x: F.struct(x["h"].alias("h"), x["p"].alias("p"), F.lit(size).alias("s"))) for size in sizes]  # noqa: B023
-    every = F.flatten(F.array(*sized))
-    placed = full.select("doc_id", "row_key", "dt", F.explode(every).alias("w")).select("doc_id", "row_key", F.col("w.h").alias("h"), F.col("w.p").alias("dp"), F.slice("dt", F.col("w.p") + 1, F.col("w.s")).alias("dv"))
-    met = placed.join(index, "h")
-    # Values that stand in the slots of both sides; tokens that aren't slots are equal by hash.
-    pairs = F.filter(F.arrays_zip("iv", "dv"), lambda x: _slot(x["iv"]))
-    diagonals = met.groupBy("doc_id", "row_key", "item_id", (F.col("dp") - F.col("ip")).alias("shift"), "item_windows").agg(
-        F.countDistinct("ip").alias("n_windows"), F.min("dp").alias("position"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs")
-    )
+    full = ws.save(rows.withColumn("row_key", row_key).join(hit, "row_key").select("doc_id", "row_key", tokens(F.col("t")).alias("dt")), "full")
+    # let(): a lambda would make the canonical tokens anew for each window.
+    placed_in = let(_canonical(F.col("dt")), lambda dc: F.flatten(F.array(*(_windows(dc, size) for size in sizes))))
+    placed = full.select("row_key", F.explode(placed_in).alias("w")).select("row_key", F.col("w.h").alias("h"), F.col("w.p").alias("dp"))
+    met = ws.save(placed.join(index, "h").select("row_key", "form", (F.col("dp") - F.col("ip")).alias("shift")).distinct(), "met")
+    # Both sides of a whole diagonal, token by token, and the windows that are equal but for values.
+    both = F.transform("it", lambda x, i: F.struct(x.alias("iv"), F.get("dt", i + F.col("shift")).alias("dv")))
+    sides = met.join(items.select("form", "item_id", "it", "size", "said"), "form").join(full, "row_key").select("doc_id", "row_key", "item_id", "shift", "size", "said", both.alias("both"))
+    alike = F.transform("both", lambda x: F.coalesce(F.when(_slot(x["iv"]), F.substring(x["iv"], 1, 1) == F.substring(x["dv"], 1, 1)).otherwise(x["iv"] == x["dv"]), F.lit(False)))
+    equal = let(alike, lambda e: F.filter(F.sequence(F.lit(0), F.size("said") - 1), lambda p: F.forall(F.slice(e, p + 1, F.col("size")), lambda x: x)))
+    # Values of all equal windows must fit, or at least those of the windows that say something.
+    every = sides.withColumn("equal", equal).withColumn("at", F.explode(F.array(F.col("equal"), F.filter("equal", lambda p: F.get("said", p)))))
+    pairs = F.array_distinct(F.flatten(F.transform("at", lambda p: F.filter(F.slice("both", p + 1, F.col("size")), lambda x: _slot(x["iv"])))))
+    diagonals = every.select("doc_id", "row_key", "item_id", F.size("said").alias("item_windows"), F.size("at").alias("n_windows"), (F.col("at")[0] + F.col("shift")).alias("position"), pairs.alias("pairs"))
     values = F.array_distinct(F.transform("pairs", lambda x: x["iv"]))
     fits = (F.size(values) == F.size("pairs")) & (F.col("n_windows") >= F.least(F.lit(RUN - WINDOW + 1), F.col("item_windows")))
     changed = F.size(F.filter("pairs", lambda x: x["iv"] != x["dv"]))
