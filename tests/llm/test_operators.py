@@ -279,3 +279,14 @@ def test_windows_of_few_literals_count(spark):
     got = {(r.doc_id, r.item_id): r for r in find_leaks(docs, items).collect()}
     assert set(got) == {(0, 1), (1, 1)} | {(4 + k, 3) for k in range(7)}
     assert got[1, 1].n_windows == got[1, 1].item_windows == 4 and got[1, 1].n_changed == 2 and got[1, 1].position == 3
+
+
+def test_surrogates_do_not_run_out(spark):
+    from tremolo.llm.pii import replace_pii
+
+    names = ["B" + "".join("aeioulnrst"[int(c)] for c in f"{i:04}") for i in range(1200)]
+    docs = [(i, f"Mr {x} Miller") for i, x in enumerate(names)] + [(5000, "mail %@-.- now")] + [(6000 + i, f"call +1 {i:02} 12") for i in range(100)]
+    got = {r.doc_id: r.text for r in replace_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    new = [got[i].split(" ")[1] for i in range(len(names))]
+    assert len(set(new)) == len(names) and not set(new) & set(names) and len({got[i].split(" ")[2] for i in range(len(names))}) == 1
+    assert re.fullmatch(r"mail [a-p]+%@-\.- now", got[5000]) and len({got[6000 + i] for i in range(100)}) == 100

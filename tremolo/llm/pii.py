@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ FIRST_FEMALE = "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sar
 START = "Ba Be Bo Bra Ca Co Da De Do Fa Fe Ga Go Ha He Ho Ja Jo Ka Ke La Le Lo Ma Me Mo Na Ne Pa Pe Ra Re Ro Sa Se So Ta Te Va We".split()
 MIDDLE = "ber den der dil gan gar ker lan len lin lor man mer mon nar ner rin ron sel ser ten ter tin tor van ver vin wen win zel".split()
 END = "by dale den ford ham holm ler ley man mann more ney ridge sen ser son ston ton ville well wick wood worth".split()
-ROUNDS = 30
+#: Attempts that keep the length of values other than names; from then on surrogates grow with each attempt.
+SAME_LENGTH = 4
 
 
 def _kind(x: Column) -> Column:
@@ -78,7 +80,11 @@ def _luhn(x: Column) -> Column:
 
 
 def surrogate(kind: Column, value: Column, attempt: Column, secret: str) -> Column:
-    """The keyed replacement of an atom; each attempt gives another."""
+    """The keyed replacement of an atom; each attempt gives another.
+
+    Names grow by a syllable an attempt, and other values by a letter or digit after SAME_LENGTH
+    attempts, so that the room for them grows faster than any number of values that clash.
+    """
     h = F.sha2(F.concat_ws("\x00", F.lit(secret), kind, value, attempt.cast("string")), 512)
     octet = lambda at: (1 + _number(h, at, 4) % 254).cast("string")
     tail = F.regexp_extract(value, r"\.[A-Za-z0-9-]+$", 0)
@@ -87,16 +93,20 @@ def surrogate(kind: Column, value: Column, attempt: Column, secret: str) -> Colu
     rest = value.substr(F.length(code) + 1, F.length(value))
     more = F.when(attempt > 0, _pick(MIDDLE, _number(h, 20, 6))).otherwise("")
     latin = value.rlike(r"^[\p{IsLatin}'’-]+$")
-    last = F.concat(_pick(START, _number(h, 0, 6)), _pick(MIDDLE, _number(h, 6, 6)), more, _pick(END, _number(h, 12, 6)))
-    first = lambda names: F.concat(_pick(names, _number(h, 0, 6)), F.when(attempt > 0, F.concat(F.lit("-"), _pick(names, _number(h, 30, 6)))).otherwise(""))
-    name = F.when(~latin, _shape(value, h)).when(kind == "male", first(FIRST_MALE)).when(kind == "female", first(FIRST_FEMALE)).when(kind == "given", first(FIRST_MALE + FIRST_FEMALE)).otherwise(last)
+    syllables = F.array_join(F.transform(F.when(attempt > 1, F.sequence(F.lit(2), attempt)).otherwise(F.array().cast("array<int>")), lambda i: _pick(MIDDLE, _number(h, 36 + F.pmod(i * 6, F.lit(84)), 6))), "")
+    longer = F.greatest(attempt - (SAME_LENGTH - 1), F.lit(0))
+    letters = F.translate(h, "0123456789", "ghijklmnop").substr(F.lit(1), longer)
+    digits = F.translate(h, "abcdef", "012345").substr(F.lit(1), longer)
+    last = F.concat(_pick(START, _number(h, 0, 6)), _pick(MIDDLE, _number(h, 6, 6)), more, syllables, _pick(END, _number(h, 12, 6)))
+    first = lambda names: F.concat(_pick(names, _number(h, 0, 6)), F.when(attempt > 0, F.concat(F.lit("-"), _pick(names, _number(h, 30, 6)))).otherwise(""), F.when(attempt > 1, F.concat(F.lit("-"), _pick(START, _number(h, 24, 6)), syllables)).otherwise(""))
+    name = F.when(~latin, _shape(F.concat(value, F.repeat(F.lower(value.substr(1, 1)), longer)), h)).when(kind == "male", first(FIRST_MALE)).when(kind == "female", first(FIRST_FEMALE)).when(kind == "given", first(FIRST_MALE + FIRST_FEMALE)).otherwise(last)
     return (
-        F.when(kind == "email", F.concat(_shape(head, h), tail))
-        .when(kind == "ip", F.concat_ws(".", *(octet(i) for i in (0, 8, 16, 24))))
-        .when(kind == "phone", F.concat(code, _shape(rest, h)))
-        .when(kind == "card", _luhn(F.concat(value.substr(1, 1), _shape(value.substr(F.lit(2), F.length(value)), h))))
-        .when(kind == "iban", F.concat(value.substr(1, 2), _shape(value.substr(F.lit(3), F.length(value)), h)))
-        .when(kind.isin("ssn", "secret"), _shape(value, h))
+        F.when(kind == "email", F.concat(letters, _shape(head, h), tail))
+        .when(kind == "ip", F.concat(F.concat_ws(".", *(octet(i) for i in (0, 8, 16, 24))), digits))
+        .when(kind == "phone", F.concat(code, _shape(rest, h), digits))
+        .when(kind == "card", _luhn(F.concat(value.substr(1, 1), _shape(value.substr(F.lit(2), F.length(value)), h), digits)))
+        .when(kind == "iban", F.concat(value.substr(1, 2), _shape(value.substr(F.lit(3), F.length(value)), h), digits))
+        .when(kind.isin("ssn", "secret"), F.concat(_shape(value, h), digits))
         .otherwise(name)
     )
 
@@ -116,12 +126,12 @@ def surrogates(atoms: DataFrame, secret: str, ws: Workspace) -> DataFrame:
     """(kind, value, new) for the distinct (kind, value) of atoms: all new values of a kind differ.
 
     A new value that is also a value of the corpus, or that another value has already, is tried again
-    with the next attempt. Only the values that clash take part in a further round.
+    with the next attempt, which has more room. Only the values that clash take part in a further round.
     """
     known = ws.save(atoms.select("kind", "value").distinct(), "known")
     done: list[DataFrame] = []
     left = known
-    for i in range(ROUNDS):
+    for i in count():
         tried = left.select("kind", "value", surrogate(F.col("kind"), F.col("value"), F.lit(i), secret).alias("new"))
         real = known.select("kind", F.col("value").alias("new"))
         free = tried.join(real, ["kind", "new"], "left_anti")
@@ -133,8 +143,6 @@ def surrogates(atoms: DataFrame, secret: str, ws: Workspace) -> DataFrame:
         left = ws.save(left.join(won, ["kind", "value"], "left_anti"), f"left{i}")
         if left.isEmpty():
             break
-    else:
-        raise ValueError(f"values still clash after {ROUNDS} attempts")
     return reduce(DataFrame.unionByName, done)
 
 
@@ -148,7 +156,8 @@ def replace_pii(docs: DataFrame, *, text: str = "text", secret: str = "surrogate
     value of the input. A surrogate has the format of what it replaces: digits and letters of each
     script and case stay such, phones keep their country code, addresses their last label, cards keep
     their first digit and get a valid check digit; given names keep the gender that the honorific tells, and a surname is
-    replaced alike with or without a given name.
+    replaced alike with or without a given name. There is no limit to the number of values: where
+    those of one format use it up, surrogates of it become longer.
 
     Null texts stay null; texts without entities stay as they are. Repeated rows stay. Columns keep
     their names and order, whatever they are called; an empty table gives an empty result.
