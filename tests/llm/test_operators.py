@@ -290,3 +290,16 @@ def test_surrogates_do_not_run_out(spark):
     new = [got[i].split(" ")[1] for i in range(len(names))]
     assert len(set(new)) == len(names) and not set(new) & set(names) and len({got[i].split(" ")[2] for i in range(len(names))}) == 1
     assert re.fullmatch(r"mail [a-p]+%@-\.- now", got[5000]) and len({got[6000 + i] for i in range(100)}) == 100
+
+
+def test_toxicity_of_many_words():
+    from tremolo.llm.toxicity import fit_texts
+
+    r = random.Random(8)
+    made = sorted({"".join(r.choice("bcdfghklmnprstvz") + r.choice("aeiou") for _ in range(r.randint(2, 5))) for _ in range(3000)})
+    r.shuffle(made)
+    toxic, usual = made[:400], made[400:2000]
+    texts = [" ".join(r.choices(usual, k=30) + (r.choices(toxic, k=8) if i % 2 else [])) for i in range(6000)]
+    model = fit_texts(texts, [i % 2 for i in range(6000)])
+    hit = lambda ws: sum(model.evidence(w.encode()) > 0 for w in ws) / len(ws)
+    assert hit(toxic) > 0.9 and hit(usual) < 0.05, (hit(toxic), hit(usual))

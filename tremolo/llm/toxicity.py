@@ -21,7 +21,8 @@ from tremolo.llm.fit import lasso_logistic, sigmoid
 #: Labelled rows of each class to fit on, at most, and the longest text among them; scoring has no bound.
 SAMPLE_ROWS = 4_000
 SAMPLE_CHARS = 50_000
-DICT_BYTES = 1024
+#: Bytes of a dictionary of up to so many marked words, and bytes for each further one.
+DICT_BYTES, DICT_WORDS, WORD_BYTES = 1024, 40, 96
 LEVEL = 9
 #: A window is one word, written this often: then a match in the dictionary shows in the length.
 REPEATS = 6
@@ -102,6 +103,7 @@ def fit_texts(texts: list[str | None], labels: list[int], *, least_contrast: flo
 
     The toxic dictionary is trained on the windows that toxic texts have much more often than
     ordinary ones, each as often as texts have it; the ordinary one on the windows of the others.
+    Both grow with the number of marked windows, and the toxic one has every one of them.
     Half of the texts give the dictionaries, and the other half the log odds and the logistic, so
     that what the dictionaries know by heart doesn't count.
     """
@@ -122,7 +124,9 @@ def fit_texts(texts: list[str | None], labels: list[int], *, least_contrast: flo
     usual = {w: min(c, 50) for w, c in dfs[0].items() if c >= 3 and w not in marked}
     order = lambda w: hashlib.blake2b(w, digest_size=8).digest()
 
-    def train(of: dict[bytes, int], size: int = DICT_BYTES) -> bytes:
+    size = DICT_BYTES + WORD_BYTES * max(0, len(marked) - DICT_WORDS)
+
+    def train(of: dict[bytes, int]) -> bytes:
         stream = sorted((w for w, c in of.items() for _ in range(c)), key=order)
         stream = [w for i in range(PER_SAMPLE) for w in stream[i::PER_SAMPLE]]  # copies of a word go to different samples
         samples = [b" " + b"  ".join(stream[i : i + PER_SAMPLE]) + b" " for i in range(0, len(stream), PER_SAMPLE)]
@@ -130,7 +134,10 @@ def fit_texts(texts: list[str | None], labels: list[int], *, least_contrast: flo
         return zstandard.train_dictionary(size, samples * max(1, 200 // max(1, len(samples))), k=SEGMENT, d=6).as_bytes()
 
     try:
-        model = ToxicityModel(train(marked), train(usual), {}, 0.0, 0.0, (0.0,) * 4)
+        toxic = train(marked)
+        # The trainer leaves words out; what follows a dictionary's tables is content, so they are put at its end.
+        left = sorted((w for w in marked if b" " + w + b" " not in toxic), key=order)
+        model = ToxicityModel(toxic + (b" " + b"  ".join(left) + b" " if left else b""), train(usual), {}, 0.0, 0.0, (0.0,) * 4)
     except zstandard.ZstdError:  # too few windows to train on
         return nothing
     cells = [Counter[tuple[int, int, int]](), Counter[tuple[int, int, int]]()]
@@ -178,7 +185,8 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, *, text: str = "text"
 
     Each word of the whole text is a window. Null, empty and blank texts have no window and get the
     score of no evidence. Null keys give a null held_out; repeated rows stay; other columns are
-    ignored; an empty table gives an empty result. The model is some kilobytes, whatever the input.
+    ignored; an empty table gives an empty result. The model grows with the marked
+    words of the labelled sample (WORD_BYTES each), not with the input.
     """
     data = pickle.dumps(model)
 
