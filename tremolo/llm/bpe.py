@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import codecs
 import hashlib
+import heapq
+import itertools
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -17,11 +19,12 @@ from tremolo.llm.base import MEMO, claim, tidy
 
 #: Fixed values of the byte-level scheme: the split pattern, with white space as Unicode defines it.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: A place where a piece always ends: a blank between two letters.
-SAFE_CUT = r"(?<=\p{L}) (?=\p{L})"
+#: A place where a piece always ends, whatever stands before and after: behind a letter, a digit or
+#: another sign where a character of another kind follows. A contraction can start only behind a cut.
+SAFE_CUT = r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=\P{White_Space})(?=\p{White_Space})"
 BLOCK_CHARS = 1 << 16
-#: Pieces longer than this go through the streaming transducer instead of the merge loop.
-LONG_PIECE = 192
+#: Characters of a piece that go to the transducer at a time, and bytes of pieces that are remembered.
+STREAM_CHARS, MEMO_BYTES = 1 << 12, 64
 
 
 def byte_letters() -> dict[str, int]:
@@ -47,13 +50,25 @@ class ByteBpe:
         self.ranks = {(raw[a], raw[b]): r for r, (a, b) in enumerate(merges)}
         self.parts = {raw[a] + raw[b]: (raw[a], raw[b]) for a, b in reversed(merges)}
         self.longest = max(map(len, self.ids))
+        # A trie of the reversed tokens: (node, byte) -> node, and the token that ends at a node.
+        self.trie: dict[int, int] = {}
+        self.ends: list[bytes | None] = [None]
+        for t in self.ids:
+            node = 0
+            for x in reversed(t):
+                node = self.trie.setdefault(node << 8 | x, len(self.ends))
+                if node == len(self.ends):
+                    self.ends.append(None)
+            self.ends[node] = t
+        self.edges: tuple[dict, dict] = {}, {}
         self.single = [bytes([b]) for b in range(256)]
         self.id_text = {i: str(i).encode() for i in self.bytes_of}
-        self.find = regex.compile(PIECES).findall
+        self.pieces = regex.compile(PIECES)
+        self.find = self.pieces.findall
         self.cut = regex.compile(SAFE_CUT)
         self.by_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.pair = lru_cache(1 << 16)(self._pair)
+        self.memo: dict[str, list[int]] = {}
+        self.pairs: dict[tuple[bytes, bytes], bool] = {}
         self.lookahead = self.sufficient_lookahead()
 
     # The merge list
@@ -99,9 +114,38 @@ class ByteBpe:
             most = max(most, need)
         return most
 
-    def _pair(self, a: bytes, b: bytes) -> bool:
-        """Whether a and b stay two tokens side by side; a sequence is right iff all its pairs are."""
-        return self.merge(a + b) == [a, b]
+    def _edge(self, token: bytes, side: int) -> list[tuple[bytes, int, int]]:
+        """What stands at an end of a token (0: left, 1: right) while it is made: (part, from rank, to rank)."""
+        known = self.edges[side].get(token)
+        if known is None:
+            known, part, until = [], token, len(self.ranks)
+            while part in self.parts:
+                made = self.ranks[self.parts[part]]
+                known.append((part, made, until))
+                part, until = self.parts[part][side], made
+            known.append((part, -1, until))
+            self.edges[side][token] = known
+        return known
+
+    def pair(self, a: bytes, b: bytes) -> bool:
+        """Whether a and b stay two tokens side by side; a sequence is right iff all its pairs are.
+
+        They don't if, while both are made, some merge has a rank at which its two parts meet at the
+        boundary. Of equal ranks the leftmost merge comes first.
+        """
+        known = self.pairs.get((a, b))
+        if known is None:
+            if len(self.pairs) >= MEMO // 2:
+                self.pairs.clear()
+            ranks, right = self.ranks, self._edge(b, 0)
+            known = True
+            for x, made, until in self._edge(a, 1):
+                for y, made_y, until_y in right:
+                    r = ranks.get((x, y))
+                    if r is not None and made < r < until and made_y < r <= until_y:
+                        known = False
+            self.pairs[a, b] = known
+        return known
 
     def transduce(self, stream: Iterable[bytes], lookahead: int | None = None) -> Iterator[int]:
         """Token ids of one piece that comes in blocks, each emitted once nothing can change it.
@@ -111,77 +155,100 @@ class ByteBpe:
         all of those agree on is stable. Memory is the unstable tail: ``lookahead`` bytes at least are
         awaited before the agreement is looked for.
         """
-        wait = self.lookahead if lookahead is None else lookahead
-        tail, last = b"", [b""]  # last[i]: the last token of tail[:i]; b"" at the start
+        wait = (self.lookahead if lookahead is None else lookahead) + self.longest
+        ids, trie, ends, pairs, pair = self.ids, self.trie.get, self.ends, self.pairs.get, self.pair
+        tail, n = b"", 0
+        last: list[bytes | None] = [b""]  # last[i]: the last token of tail[:i]; b"" at the start
         before = b""  # the last emitted token
-
-        def left_of(i: int) -> bytes:
-            return last[i] or before
-
         for block in stream:
-            for k in range(len(block)):
-                tail += block[k : k + 1]
-                n = len(tail)
-                for size in range(min(self.longest, n), 0, -1):
-                    token = tail[n - size :]
-                    if token in self.ids and last[n - size] is not None:
-                        left = left_of(n - size)
-                        if not left or self.pair(left, token):
-                            last.append(token)
-                            break
+            at, tail = len(tail), tail + block
+            for n in range(at + 1, len(tail) + 1):
+                node, i, found = 0, n, []
+                while i:
+                    i -= 1
+                    node = trie(node << 8 | tail[i])
+                    if node is None:
+                        break
+                    if (token := ends[node]) is not None and (left := last[i]) is not None:
+                        found.append((left or before, token))
+                for left, token in reversed(found):
+                    if not left or (pair(left, token) if (ok := pairs((left, token))) is None else ok):
+                        last.append(token)
+                        break
                 else:
                     last.append(None)
-                if n >= wait + self.longest and n % 64 == 0:
-                    heads = {self._first_cut(last, i) for i in range(n - self.longest, n + 1) if last[i]}
-                    if len(heads) == 1 and (cut := heads.pop()):
-                        before = last[cut]
-                        yield self.ids[before]
-                        tail, last = tail[cut:], [b"", *last[cut + 1 :]]
+            if n >= wait and (cut := self._agreed(last, n)):
+                yield from (ids[t] for t in self._way(last, cut))
+                before = last[cut]
+                tail, last = tail[cut:], [b"", *last[cut + 1 :]]
+        yield from (ids[t] for t in self._way(last, len(tail)))
+
+    @staticmethod
+    def _way(last: list, i: int) -> list[bytes]:
+        """The tokens that lead to position i."""
         out = []
-        i = len(tail)
         while i:
-            out.append(self.ids[last[i]])
+            out.append(last[i])
             i -= len(last[i])
-        yield from reversed(out)
-
-    @staticmethod
-    def _first_cut(last: list, i: int) -> int:
-        """End of the first token on the way that leads to position i."""
-        while (j := i - len(last[i])) > 0:
-            i = j
-        return i
+        return out[::-1]
+
+    def _agreed(self, last: list, n: int) -> int:
+        """The last position that the ways to all positions a coming token can start at have in common."""
+        live = [-i for i in range(max(n - self.longest, 0), n + 1) if i == 0 or last[i]]
+        heapq.heapify(live)
+        while True:
+            i = -heapq.heappop(live)
+            while live and live[0] == -i:
+                heapq.heappop(live)
+            if not live or not i:
+                return i
+            heapq.heappush(live, len(last[i]) - i)
 
     # Texts
 
-    def piece_ids(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode("utf-8")
-        if len(raw) > LONG_PIECE:
-            return tuple(self.transduce(raw[i : i + 4096] for i in range(0, len(raw), 4096)))
-        out = tuple(self.ids[t] for t in self.merge(raw))
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        self.memo[piece] = out
+    def piece_ids(self, piece: str) -> list[int]:
+        """Ids of one piece; those of short ones are remembered."""
+        out = list(self.transduce((piece.encode("utf-8"),)))
+        if len(piece) <= MEMO_BYTES:
+            if len(self.memo) >= MEMO // 2:
+                self.memo.clear()
+            self.memo[piece] = out
         return out
 
-    def blocks(self, text: str) -> Iterator[str]:
-        """The text in blocks that no piece crosses, of about BLOCK_CHARS where it has a safe cut."""
-        at = 0
-        while len(text) - at > BLOCK_CHARS and (m := self.cut.search(text, at + BLOCK_CHARS)):
-            yield text[at : m.start()]
-            at = m.start()
-        yield text[at:] if at else text
+    def _block(self, text: str) -> list[int]:
+        memo, out = self.memo, []
+        for piece in self.find(text):
+            out += memo.get(piece) or self.piece_ids(piece)
+        return out
+
+    def text_blocks(self, text: str) -> Iterator[list[int]]:
+        """Ids of a text without special tokens, for some tens of thousands of characters at a time.
+
+        A block ends at a safe cut; a piece that has none for longer than that streams through the
+        transducer, so that no piece is ever held whole.
+        """
+        at, n = 0, len(text)
+        while n - at > 2 * BLOCK_CHARS:
+            if m := self.cut.search(text, at + BLOCK_CHARS, at + 2 * BLOCK_CHARS):
+                yield self._block(text[at : m.start()])
+                at = m.start()
+                continue
+            # The long piece may begin within the block: what is before it goes first.
+            m = next(x for x in self.pieces.finditer(text, at) if x.end() >= at + BLOCK_CHARS)
+            if m.start() > at:
+                yield self._block(text[at : m.start()])
+            stream = self.transduce(text[i : min(i + STREAM_CHARS, m.end())].encode("utf-8") for i in range(m.start(), m.end(), STREAM_CHARS))
+            while ids := list(itertools.islice(stream, STREAM_CHARS)):
+                yield ids
+            at = m.end()
+        yield self._block(text[at:] if at else text)
 
     def encode_blocks(self, text: str) -> Iterator[list[int]]:
-        memo, piece_ids = self.memo, self.piece_ids
         for part in self.by_special.split(text) if self.by_special and any(s in text for s in self.special) else (text,):
             if part in self.special:
                 yield [self.special[part]]
-                continue
-            for block in self.blocks(part):
-                out: list[int] = []
-                for piece in self.find(block):
-                    out += memo.get(piece) or piece_ids(piece)
-                yield out
+            else:
+                yield from self.text_blocks(part)
 
     def encode(self, text: str | None) -> list[int]:
         return [i for block in self.encode_blocks(text or "") for i in block]
@@ -222,7 +289,8 @@ def bpe_digests(docs: DataFrame, vocabulary: str, *, text: str = "text", key: st
     """Per row: key as doc_id, n_tokens, and SHA-256 of the ids and of the decoded text.
 
     A null or empty text has no tokens. Keys may repeat or be null; other columns are ignored, and
-    an empty table gives an empty result. Texts of any length use memory for one block of text.
+    an empty table gives an empty result. Beside the text itself, its ids and pieces are held for one
+    block at a time, in any script.
     """
 
     def run(batches):
