@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from functools import lru_cache
 
@@ -16,8 +17,8 @@ from tremolo.llm.base import WordHasher, Workspace, claim, mix, ngrams, tidy
 #: Chance of missing, in all bands, a pair that is exactly as similar as the threshold.
 MISS = 1e-7
 MOST_HASHES = 144
-#: Documents of one bucket that one task compares at a time.
-BLOCK = 256
+#: Documents of one bucket that a task compares at a time, and shingles of theirs; a document of more is on its own.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 19
 #: Words of 64 bits in the bitmap of documents that have a bucket in common with another.
 BITMAP_WORDS = 1 << 20
 #: Standard deviations by which the share of equal minima may fall short of the threshold.
@@ -79,11 +80,12 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def verify(ids: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, left: int, threshold: tuple[int, int]) -> list[tuple[int, int]]:
+def verify(ids: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, left: int, threshold: tuple[int, int], known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between rows, enough to join all that are linked: a pair already joined isn't compared.
 
     left: rows before it are compared among themselves and with the rest; 0: all with all. A pair
     is compared on full sets if sizes and equal minima allow the threshold, a fraction (num, den).
+    known: rows with the same value are joined from the start.
     """
     num, den = threshold
     n, k = sigs.shape
@@ -91,6 +93,9 @@ def verify(ids: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, left: int,
     least = k * t - SLACK * math.sqrt(k * t * (1 - t))
     size = np.array([len(s) for s in sets])
     root = np.arange(n)
+    if known is not None:
+        _, first, of = np.unique(known, return_index=True, return_inverse=True)
+        root = first[of]
     out = []
 
     def find(i: int) -> int:
@@ -122,28 +127,29 @@ def verify(ids: np.ndarray, sets: list[np.ndarray], sigs: np.ndarray, left: int,
     return out
 
 
-def components(edges: DataFrame, ws: Workspace, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, ws: Workspace, name: str = "") -> DataFrame:
     """(node, component) of every node of edges (u, v), by alternating large-star and small-star.
 
-    Each round writes its edges to the shared folder and ends the work when nothing has changed.
+    Each round writes its edges to the shared folder. The rounds go on until every component is a star,
+    so there is no limit to them; their number grows with the logarithm of the longest chain.
     """
     spark = edges.sparkSession
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = ws.save(edges, "edges0")
+    edges = ws.save(edges, f"{name}edges0")
     mark = None
-    for i in range(1, rounds + 1):
+    for i in itertools.count(1):
         # Large-star: every neighbour that is larger than a node moves to the node's least neighbour.
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # The minima are tables of their own, so that a join can split the rows of a node of many edges.
-        least = ws.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"large{i}")
+        least = ws.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}large{i}")
         edges = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        edges = ws.save(edges, f"half{i}")
+        edges = ws.save(edges, f"{name}half{i}")
         # Small-star: a node's smaller neighbours and itself move to the least of them.
-        least = ws.save(edges.groupBy("u").agg(F.min("v").alias("m")), f"small{i}")
+        least = ws.save(edges.groupBy("u").agg(F.min("v").alias("m")), f"{name}small{i}")
         moved = edges.join(least, "u")
         edges = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = ws.save(edges, f"edges{i}")
-        ws.drop(f"edges{i - 1}", f"large{i}", f"half{i}", f"small{i}")
+        edges = ws.save(edges, f"{name}edges{i}")
+        ws.drop(f"{name}edges{i - 1}", f"{name}large{i}", f"{name}half{i}", f"{name}small{i}")
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.countDistinct("u")).first()
         # Stars: every node has one edge, to a node that has none; then nothing moves any more.
         if now[0] == now[2] and tuple(now) == mark:
@@ -178,7 +184,10 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     table gives an empty result.
 
     Equal sets count once, as their least key. Buckets that hold the same documents as another are
-    compared once, and large ones in pairs of blocks of at most BLOCK documents.
+    compared once. One of more than BLOCK documents, or BLOCK_SHINGLES shingles, isn't compared in
+    pairs: its documents meet its pivot, in blocks, which joins those of a family of copies. Only what
+    is left outside the bucket's largest component then meets the whole bucket, block by block, so no
+    link is lost; it is quadratic only in documents that share a bucket without being alike.
     """
     spark = docs.sparkSession
     ws = Workspace(spark)
@@ -203,7 +212,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     sketches = ws.save(source.mapInArrow(sketch, f"doc_id {kind}, n bigint, fp binary, bands array<bigint>"), "sketches")
 
     # Equal sets: one representative each.
-    classes = sketches.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")).where("rep is not null")
+    classes = sketches.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.min_by("bands", "doc_id").alias("bands")).where("rep is not null")
     classes = ws.save(classes, "classes")
     banded = classes.select("rep", F.explode("bands").alias("band"))
     # Most keys have one document: they go before anything else is known of a bucket.
@@ -211,15 +220,15 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     shared = ws.save(banded.join(shared, "band"), "shared")
     buckets = shared.groupBy("band", "size").agg(F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("y"))
     buckets = buckets.groupBy("size", "x", "y").agg(F.min("band").alias("band"))
-    members = ws.save(shared.join(buckets.select("band"), "band"), "members")
+    members = shared.select("rep", "band").join(buckets.select("band"), "band").join(classes.groupBy("rep").agg(F.max("n").alias("n")), "rep")
+    members = ws.save(members, "members")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    big = ws.save(members.groupBy("band").agg(blocks.alias("blocks"), F.min("rep").alias("pivot")).where("blocks > 1"), "big")
 
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(3), "rep"), blocks).cast("int")
-    # Block a of a bucket meets block b >= a in unit (band, a, b).
-    units = members.select("rep", "band", blocks.alias("blocks"), own.alias("own")).select("rep", "band", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    units = units.select("rep", "band", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("second"))
-    # Texts travel to their units, as they are smaller than their sets.
-    work = units.join(_likely(source.select(F.col("doc_id").alias("rep"), "t"), members), "rep").select(F.xxhash64("band", "a", "b").alias("unit"), "rep", "second", "t")
+    def compared(units: DataFrame, name: str) -> DataFrame:
+        """Links of (rep, unit, second, c): texts travel to their units, as they are smaller than their sets."""
+        texts = _likely(source.select(F.col("doc_id").alias("rep"), "t"), units)
+        return ws.save(units.join(texts, "rep").groupBy("unit").applyInPandas(compare, f"u {kind}, v {kind}"), name)
 
     def compare(pdf):
         import pandas as pd
@@ -230,10 +239,31 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
         sets = [shingles(t, k) for t in pdf["t"]]
         # A byte of each minimum is enough to refuse a pair; what it lets pass is compared in full.
         sigs = np.stack([signature(x, bands * rows).astype(np.uint8) if len(x) else np.zeros(bands * rows, np.uint8) for x in sets])
-        return pd.DataFrame(verify(pdf["rep"].to_numpy(), sets, sigs, left, threshold), columns=["u", "v"], dtype="int64")
-
-    links = ws.save(work.groupBy("unit").applyInPandas(compare, f"u {kind}, v {kind}"), "links")
+        return pd.DataFrame(verify(pdf["rep"].to_numpy(), sets, sigs, left, threshold, pdf["c"].to_numpy()), columns=["u", "v"], dtype="int64")
+
+    # A small bucket is one unit. Those of a big one meet its pivot, in blocks.
+    own = F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("blocks")).cast("int")
+    unit = lambda *by: F.xxhash64(*by).alias("unit")
+    small = members.join(big.select("band"), "band", "left_anti").select("rep", unit("band"), F.lit(False).alias("second"), F.col("rep").alias("c"))
+    large = members.join(big, "band").withColumn("own", own)
+    pivots = big.select(F.col("pivot").alias("rep"), "band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+    to_pivot = large.where("rep <> pivot").select("rep", unit("band", "own"), F.lit(True).alias("second"), F.col("rep").alias("c"))
+    to_pivot = to_pivot.unionByName(pivots.select("rep", unit("band", "own"), F.lit(False).alias("second"), F.col("rep").alias("c")))
+    links = compared(ws.save(small.unionByName(to_pivot), "units"), "links")
     found = components(links, ws)
+    # Big buckets that are still of several components: all that aren't in the largest one meet all.
+    at = ws.save(large.select("rep", "band", "blocks", "own", "n").join(found, F.col("rep") == F.col("node"), "left").select("rep", "band", "blocks", "own", "n", F.coalesce("component", "rep").alias("c")), "at") if not big.isEmpty() else None
+    if at is not None:
+        parts = at.groupBy("band", "c").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n"))
+        rest = F.greatest(F.ceil((F.sum("m") - F.max("m")) / BLOCK), F.ceil((F.sum("n") - F.max_by("n", "m")) / BLOCK_SHINGLES)).cast("int")
+        mixed = ws.save(parts.groupBy("band").agg(F.max_by("c", "m").alias("main"), F.count(F.lit(1)).alias("cs"), rest.alias("rests")).where("cs > 1").drop("cs"), "mixed")
+        if not mixed.isEmpty():
+            both = at.join(mixed, "band")
+            outer = both.where("c <> main").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "rep"), F.col("rests")).cast("int")).select("rep", "band", "part", "c", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"))
+            every = both.select("rep", "band", "own", "c", F.explode(F.sequence(F.lit(0), F.col("rests") - 1)).alias("part"))
+            units = outer.select("rep", unit("band", "part", "own"), F.lit(False).alias("second"), "c").unionByName(every.select("rep", unit("band", "part", "own"), F.lit(True).alias("second"), "c"))
+            more = compared(ws.save(units, "more_units"), "more_links")
+            found = components(found.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more), ws, "more_")
     of_class = classes.select("fp", "rep").join(found, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("c"))
     # Rows without a set get keys of their own, as nulls would all meet in one task.
     salted = F.coalesce(F.col("fp"), F.concat(F.lit(b"\0"), F.coalesce(F.col("doc_id").cast("string"), F.uuid()).cast("binary")))
