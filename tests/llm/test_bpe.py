@@ -24,7 +24,7 @@ def test_pairs_equal_the_merge_loop():
     short = [t for t in tokens if len(t) < 4]
     for i in range(20_000):
         a, b = r.choice(tokens if i % 2 else short), r.choice(tokens if i % 3 else short)
-        assert own.pair(a, b) == (own.merge(a + b) == [a, b])
+        assert own.pair(own.ids[a], own.ids[b]) == (own.merge(a + b) == [a, b])
 
 
 def test_blocks_of_any_script(monkeypatch):

@@ -23,8 +23,12 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 #: another sign where a character of another kind follows. A contraction can start only behind a cut.
 SAFE_CUT = r"(?<=\p{L})(?=\P{L})|(?<=\p{N})(?=\P{N})|(?<=\P{White_Space})(?=\p{White_Space})"
 BLOCK_CHARS = 1 << 16
-#: Characters of a piece that go to the transducer at a time, and bytes of pieces that are remembered.
-STREAM_CHARS, MEMO_BYTES = 1 << 12, 64
+#: Characters of a piece that go to the transducer at a time, and of pieces that are remembered.
+STREAM_CHARS, MEMO_CHARS = 1 << 12, 64
+#: In place of a token: nothing stands left of the first one; no right tokenisation ends here; not asked yet.
+START, NONE, UNKNOWN = -1, -2, -3
+#: Positions after which the transducer looks back at least.
+STEP = 128
 
 
 def byte_letters() -> dict[str, int]:
@@ -50,16 +54,18 @@ class ByteBpe:
         self.ranks = {(raw[a], raw[b]): r for r, (a, b) in enumerate(merges)}
         self.parts = {raw[a] + raw[b]: (raw[a], raw[b]) for a, b in reversed(merges)}
         self.longest = max(map(len, self.ids))
-        # A trie of the reversed tokens: (node, byte) -> node, and the token that ends at a node.
+        # A trie of the reversed tokens: node << 8 | byte -> node, and the id of the token that ends at a node.
         self.trie: dict[int, int] = {}
-        self.ends: list[bytes | None] = [None]
-        for t in self.ids:
+        self.ends = [-1]
+        for t, i in self.ids.items():
             node = 0
             for x in reversed(t):
                 node = self.trie.setdefault(node << 8 | x, len(self.ends))
                 if node == len(self.ends):
-                    self.ends.append(None)
-            self.ends[node] = t
+                    self.ends.append(-1)
+            self.ends[node] = i
+        self.size = {i: len(t) for t, i in self.ids.items()}
+        self.rank_of = {self.ids[x] << 20 | self.ids[y]: r for (x, y), r in self.ranks.items()}
         self.edges: tuple[dict, dict] = {}, {}
         self.single = [bytes([b]) for b in range(256)]
         self.id_text = {i: str(i).encode() for i in self.bytes_of}
@@ -67,8 +73,9 @@ class ByteBpe:
         self.find = self.pieces.findall
         self.cut = regex.compile(SAFE_CUT)
         self.by_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.memo: dict[str, list[int]] = {}
-        self.pairs: dict[tuple[bytes, bytes], bool] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
         self.lookahead = self.sufficient_lookahead()
 
     # The merge list
@@ -114,87 +121,106 @@ class ByteBpe:
             most = max(most, need)
         return most
 
-    def _edge(self, token: bytes, side: int) -> list[tuple[bytes, int, int]]:
+    def _edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """What stands at an end of a token (0: left, 1: right) while it is made: (part, from rank, to rank)."""
-        known = self.edges[side].get(token)
-        if known is None:
-            known, part, until = [], token, len(self.ranks)
-            while part in self.parts:
-                made = self.ranks[self.parts[part]]
-                known.append((part, made, until))
-                part, until = self.parts[part][side], made
-            known.append((part, -1, until))
-            self.edges[side][token] = known
-        return known
-
-    def pair(self, a: bytes, b: bytes) -> bool:
-        """Whether a and b stay two tokens side by side; a sequence is right iff all its pairs are.
+        part, until, out = self.bytes_of[token], len(self.ranks), []
+        while part in self.parts:
+            made = self.ranks[self.parts[part]]
+            out.append((self.ids[part], made, until))
+            part, until = self.parts[part][side], made
+        out.append((self.ids[part], -1, until))
+        self.edges[side][token] = out
+        return out
+
+    def pair(self, a: int, b: int) -> bool:
+        """Whether tokens a and b stay two side by side; a sequence is right iff all its pairs are.
 
         They don't if, while both are made, some merge has a rank at which its two parts meet at the
         boundary. Of equal ranks the leftmost merge comes first.
         """
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= MEMO // 2:
-                self.pairs.clear()
-            ranks, right = self.ranks, self._edge(b, 0)
-            known = True
-            for x, made, until in self._edge(a, 1):
-                for y, made_y, until_y in right:
-                    r = ranks.get((x, y))
-                    if r is not None and made < r < until and made_y < r <= until_y:
-                        known = False
-            self.pairs[a, b] = known
-        return known
+        if len(self.pairs) >= MEMO:
+            self.pairs.clear()
+        left, right = self.edges[1].get(a) or self._edge(a, 1), self.edges[0].get(b) or self._edge(b, 0)
+        rank = self.rank_of.get
+        for x, made, until in left:
+            x <<= 20
+            for y, made_y, until_y in right:
+                r = rank(x | y)
+                if r is not None and made < r < until and made_y < r <= until_y:
+                    self.pairs[a << 20 | b] = False
+                    return False
+        self.pairs[a << 20 | b] = True
+        return True
 
     def transduce(self, stream: Iterable[bytes], lookahead: int | None = None) -> Iterator[int]:
         """Token ids of one piece that comes in blocks, each emitted once nothing can change it.
 
-        For each end position there is one last token that a right tokenisation can end with; it is
-        kept for the last ``longest`` positions, which are all that a coming token can start at. What
-        all of those agree on is stable. Memory is the unstable tail: ``lookahead`` bytes at least are
-        awaited before the agreement is looked for.
+        For each end position there is one last token that a right tokenisation can end with. A coming
+        token can start at any of the last ``longest`` positions; what the ways to all of those have in
+        common is stable. Memory is the unstable tail: ``lookahead`` bytes at least are awaited before
+        the agreement is looked for.
         """
         wait = (self.lookahead if lookahead is None else lookahead) + self.longest
-        ids, trie, ends, pairs, pair = self.ids, self.trie.get, self.ends, self.pairs.get, self.pair
         tail, n = b"", 0
-        last: list[bytes | None] = [b""]  # last[i]: the last token of tail[:i]; b"" at the start
-        before = b""  # the last emitted token
+        last = [START]  # last[i]: the last token of tail[:i], NONE, or UNKNOWN as long as nobody asks
+        before = START  # the last emitted token
         for block in stream:
             at, tail = len(tail), tail + block
-            for n in range(at + 1, len(tail) + 1):
-                node, i, found = 0, n, []
-                while i:
-                    i -= 1
-                    node = trie(node << 8 | tail[i])
-                    if node is None:
-                        break
-                    if (token := ends[node]) is not None and (left := last[i]) is not None:
-                        found.append((left or before, token))
-                for left, token in reversed(found):
-                    if not left or (pair(left, token) if (ok := pairs((left, token))) is None else ok):
-                        last.append(token)
-                        break
-                else:
-                    last.append(None)
-            if n >= wait and (cut := self._agreed(last, n)):
-                yield from (ids[t] for t in self._way(last, cut))
-                before = last[cut]
-                tail, last = tail[cut:], [b"", *last[cut + 1 :]]
-        yield from (ids[t] for t in self._way(last, len(tail)))
-
-    @staticmethod
-    def _way(last: list, i: int) -> list[bytes]:
+            n = len(tail)
+            last += [UNKNOWN] * (n - at)
+            for i in range(at + STEP, n, STEP):
+                self._ending(tail, last, i, before)
+            if n >= wait:
+                for i in range(n - self.longest, n + 1):
+                    self._ending(tail, last, i, before)
+                if cut := self._agreed(last, n):
+                    yield from self._way(last, cut)
+                    before = last[cut]
+                    tail, last = tail[cut:], [START, *last[cut + 1 :]]
+        self._ending(tail, last, len(tail), before)
+        yield from self._way(last, len(tail))
+
+    def _ending(self, tail: bytes, last: list[int], n: int, before: int) -> int:
+        """Finds last[n]: of the tokens that end at n, longest first, one that may follow what is left of it.
+
+        Positions further left are found as they are needed; STEP bounds how many calls stand on each other.
+        """
+        if last[n] != UNKNOWN:
+            return last[n]
+        trie, ends, pairs = self.trie.get, self.ends, self.pairs.get
+        node, i, found = 0, n, []
+        while i:
+            i -= 1
+            node = trie(node << 8 | tail[i])
+            if node is None:
+                break
+            if ends[node] >= 0:
+                found.append((i, ends[node]))
+        for i, token in reversed(found):
+            left = last[i]
+            if left == UNKNOWN:
+                left = self._ending(tail, last, i, before)
+            if left == NONE:
+                continue
+            if left == START:
+                left = before
+            if left == START or (self.pair(left, token) if (ok := pairs(left << 20 | token)) is None else ok):
+                last[n] = token
+                return token
+        last[n] = NONE
+        return NONE
+
+    def _way(self, last: list[int], i: int) -> list[int]:
         """The tokens that lead to position i."""
         out = []
         while i:
             out.append(last[i])
-            i -= len(last[i])
+            i -= self.size[last[i]]
         return out[::-1]
 
-    def _agreed(self, last: list, n: int) -> int:
+    def _agreed(self, last: list[int], n: int) -> int:
         """The last position that the ways to all positions a coming token can start at have in common."""
-        live = [-i for i in range(max(n - self.longest, 0), n + 1) if i == 0 or last[i]]
+        live = [-i for i in range(max(n - self.longest, 0), n + 1) if last[i] != NONE]
         heapq.heapify(live)
         while True:
             i = -heapq.heappop(live)
@@ -202,15 +228,17 @@ class ByteBpe:
                 heapq.heappop(live)
             if not live or not i:
                 return i
-            heapq.heappush(live, len(last[i]) - i)
+            heapq.heappush(live, self.size[last[i]] - i)
 
     # Texts
 
-    def piece_ids(self, piece: str) -> list[int]:
-        """Ids of one piece; those of short ones are remembered."""
-        out = list(self.transduce((piece.encode("utf-8"),)))
-        if len(piece) <= MEMO_BYTES:
+    def piece_ids(self, piece: str) -> tuple[int, ...]:
+        """Ids of one piece. Short ones are remembered, in two generations, so that frequent ones stay."""
+        out = self.older.get(piece) or tuple(self.transduce((piece.encode("utf-8"),)))
+        if len(piece) <= MEMO_CHARS:
             if len(self.memo) >= MEMO // 2:
+                self.older.clear()
+                self.older.update(self.memo)
                 self.memo.clear()
             self.memo[piece] = out
         return out
