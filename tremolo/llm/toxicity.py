@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 from tremolo.llm.base import MEMO, claim, tidy, train_fold, words
 from tremolo.llm.fit import lasso_logistic, sigmoid
 
-#: Labelled rows of each class to fit on, at most, and the longest text among them; scoring has no bound.
+#: Labelled rows of each class to fit on, at most; neither they nor what is scored is cut by length.
 SAMPLE_ROWS = 4_000
-SAMPLE_CHARS = 50_000
+#: Texts of each class that the dictionaries need at least, else the score is a constant.
+LEAST_TEXTS = 5
 #: Bytes of a dictionary of up to so many marked words, and bytes for each further one.
 DICT_BYTES, DICT_WORDS, WORD_BYTES = 1024, 40, 96
 LEVEL = 9
@@ -105,7 +106,9 @@ def fit_texts(texts: list[str | None], labels: list[int], *, least_contrast: flo
     ordinary ones, each as often as texts have it; the ordinary one on the windows of the others.
     Both grow with the number of marked windows, and the toxic one has every one of them.
     Half of the texts give the dictionaries, and the other half the log odds and the logistic, so
-    that what the dictionaries know by heart doesn't count.
+    that what the dictionaries know by heart doesn't count. With fewer than LEAST_TEXTS texts of a
+    class in the first half, or too few windows to train on, the score is a constant, the share of
+    toxic texts; small samples mark only the windows that are significant all the same.
     """
     seen: dict[str, int] = {}
     for t, y in zip(texts, labels, strict=True):
@@ -118,7 +121,7 @@ def fit_texts(texts: list[str | None], labels: list[int], *, least_contrast: flo
     for t, y in rows[::2]:
         dfs[y].update(set(windows(t)))
         sizes[y] += 1
-    if min(sizes) < 20:
+    if min(sizes) < LEAST_TEXTS:
         return nothing
     marked = {w: c for w, c in dfs[1].items() if c >= 3 and _contrast(c, sizes[1], dfs[0][w], sizes[0]) >= least_contrast}
     usual = {w: min(c, 50) for w, c in dfs[0].items() if c >= 3 and w not in marked}
@@ -167,11 +170,12 @@ def fit_texts(texts: list[str | None], labels: list[int], *, least_contrast: flo
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fits on at most sample_rows labelled documents of each class, of the train fold only.
 
-    They are those with the smallest hash of their id, of at most SAMPLE_CHARS characters.
+    They are those with the smallest hash of their id, with whole texts; of several rows with one id
+    the least text counts. Null texts count as empty ones; null ids and labels don't count.
     """
     known = labels.where(labels[key].isNotNull() & labels[label].isNotNull() & train_fold(labels[key])).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     chosen = [known.where(F.col("y") == c).orderBy(F.xxhash64("k"), "k").limit(sample_rows) for c in (0, 1)]
-    rows = docs.select(docs[key].alias("k"), docs[text].alias("t")).where(F.length("t") <= SAMPLE_CHARS).join(F.broadcast(chosen[0].unionByName(chosen[1])), "k").select("t", "y").collect()
+    rows = docs.select(docs[key].alias("k"), docs[text].alias("t")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "k").groupBy("k", "y").agg(F.min("t").alias("t")).collect()
     return fit_texts([r.t for r in rows], [r.y for r in rows])
 
 
