@@ -153,10 +153,14 @@ def fit_rules(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 3,
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> RuleModel:
-    """Fits on at most sample_rows labelled documents of the train fold; null labels don't count."""
+    """Fits on at most sample_rows labelled documents of the train fold; null ids and labels don't count.
+
+    Only their statistics reach the driver. Of several rows with one id those of the least hash of the text count.
+    """
     chosen = labels.where(labels[key].isNotNull() & labels[label].isNotNull() & train_fold(labels[key])).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("double").alias("y"))
     chosen = chosen.orderBy(F.xxhash64("k"), "k").limit(sample_rows)
     rows = docs.select(docs[key].alias("k"), docs[text].alias("t")).join(F.broadcast(chosen), "k")
+    rows = rows.groupBy("k", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t"))
     rows = with_statistics(rows, "t").withColumn("h", F.xxhash64("k")).drop("t").toPandas()
     rows = rows.sort_values(["h", "k"], kind="stable")
     x = rows[[f"s_{k}" for k in STATISTICS]].to_numpy(float)
