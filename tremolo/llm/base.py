@@ -116,7 +116,7 @@ class Workspace:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not root:
-            if not spark.sparkContext.master.startswith("local["):
+            if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="tremolo-")
             spark.conf.set("spark.checkpoint.dir", root)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremolo.llm.base import Workspace
@@ -135,8 +136,8 @@ def surrogates(atoms: DataFrame, secret: str, ws: Workspace) -> DataFrame:
         tried = left.select("kind", "value", surrogate(F.col("kind"), F.col("value"), F.lit(i), secret).alias("new"))
         real = known.select("kind", F.col("value").alias("new"))
         free = tried.join(real, ["kind", "new"], "left_anti")
-        for d in done:
-            free = free.join(d.select("kind", "new"), ["kind", "new"], "left_anti")
+        if done:
+            free = free.join(reduce(DataFrame.unionByName, done).select("kind", "new"), ["kind", "new"], "left_anti")
         won = free.groupBy("kind", "new").agg(F.min("value").alias("value")).select("kind", "value", "new")
         won = ws.save(won, f"won{i}")
         done.append(won)
@@ -146,7 +147,18 @@ def surrogates(atoms: DataFrame, secret: str, ws: Workspace) -> DataFrame:
     return reduce(DataFrame.unionByName, done)
 
 
-def replace_pii(docs: DataFrame, *, text: str = "text", secret: str = "surrogates", count: str | None = None) -> DataFrame:
+#: The session setting that holds the key. Where it is unset, each application draws one at random.
+SECRET = "spark.tremolo.surrogates.key"
+_DRAWN: dict[str, str] = {}
+
+
+def session_secret(spark: SparkSession) -> str:
+    """The key of the session: set it to get the same surrogates again, keep it to keep them unlinkable."""
+    set_to = spark.conf.get(SECRET, None) or spark.sparkContext.getConf().get(SECRET)
+    return set_to or _DRAWN.setdefault(spark.sparkContext.applicationId, secrets.token_hex(32))
+
+
+def replace_pii(docs: DataFrame, *, text: str = "text", secret: str | None = None, count: str | None = None) -> DataFrame:
     """The rows and columns of docs with every found entity of the text replaced; count names a new
     column for their number.
 
@@ -157,7 +169,8 @@ def replace_pii(docs: DataFrame, *, text: str = "text", secret: str = "surrogate
     script and case stay such, phones keep their country code, addresses their last label, cards keep
     their first digit and get a valid check digit; given names keep the gender that the honorific tells, and a surname is
     replaced alike with or without a given name. There is no limit to the number of values: where
-    those of one format use it up, surrogates of it become longer.
+    those of one format use it up, surrogates of it become longer. The key is ``secret``, or else the
+    session's (see SECRET): with another key, all surrogates are others.
 
     Null texts stay null; texts without entities stay as they are. Repeated rows stay. Columns keep
     their names and order, whatever they are called; an empty table gives an empty result.
@@ -172,7 +185,7 @@ def replace_pii(docs: DataFrame, *, text: str = "text", secret: str = "surrogate
     ents = ws.save(ents, "ents")
     atoms = ents.select("_pii_row", F.posexplode("ents").alias("i", "ent")).select("_pii_row", "i", F.posexplode(_atoms(F.col("ent"))).alias("j", "a")).select("_pii_row", "i", "j", "a.kind", "a.value")
     atoms = ws.save(atoms, "atoms")
-    table = surrogates(atoms, secret, ws)
+    table = surrogates(atoms, secret or session_secret(docs.sparkSession), ws)
     made = atoms.join(table, ["kind", "value"]).groupBy("_pii_row").agg(F.array_sort(F.collect_list(F.struct("i", "j", "new", "kind"))).alias("made"))
     one = F.transform("ents", lambda e, i: F.concat(F.when(F.filter("made", lambda m: m["i"] == i)[0]["kind"].isin("male", "female", "given", "surname"), F.concat(F.split(e, " ")[0], F.lit(" "))).otherwise(""), F.array_join(F.transform(F.filter("made", lambda m: m["i"] == i), lambda m: m["new"]), " ")))
     subs = ws.save(ents.join(made, "_pii_row").select("_pii_row", one.alias("_pii_subs")), "subs")
