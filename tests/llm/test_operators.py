@@ -62,6 +62,15 @@ def test_frequent_lines_deplete(spark):
     assert not got[0].kept and got[99].kept and got[99].n_removed_words == 20 and got[100].n_removed_words == 0
 
 
+def test_copies_are_documents(spark):
+    from tremolo.llm.quality_rules import quality_rules
+
+    text = "all of this is one and the same text that very many pages of a host have copied word for word again"
+    docs = [(i, text, "many") for i in range(21)] + [(i, text, "few") for i in range(100, 120)] + [(200, text, "rows")] * 30 + [(None, text, "none")] * 21
+    got = {(r.doc_id, r.kept) for r in quality_rules(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    assert got == {(i, False) for i in range(21)} | {(i, True) for i in range(100, 120)} | {(200, True), (None, False)}
+
+
 def test_odd_rows_bpe(odd, none):
     from tremolo.llm.bpe import bpe_decode, bpe_digests, bpe_encode, load
 

@@ -48,7 +48,7 @@ def quality_rules(max_docs: int = 20, least_kept: float = 0.3) -> str:
  rw AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS c FROM (SELECT doc_id, i, array_to_string(w[i:i+7], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8))) WHERE c > 1) GROUP BY doc_id),
  dl AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^ \t\n\x0B\f\r]') GROUP BY doc_id),
  nl AS (SELECT doc_id, host, t, trim(unnest(string_split(regexp_replace(regexp_replace(lower(t), '[0-9]+', '0', 'g'), '[ \t\x0B\f\r]+', ' ', 'g'), chr(10)))) AS l FROM d),
- fl AS (SELECT host, l FROM (SELECT DISTINCT host, t, l FROM nl WHERE l <> '') GROUP BY host, l HAVING count(*) > {max_docs}),
+ fl AS (SELECT host, l FROM (SELECT DISTINCT host, doc_id, t, l FROM nl WHERE l <> '') GROUP BY host, l HAVING count(*) > {max_docs}),
  gone AS (SELECT doc_id, sum(length(l) - length(replace(l, ' ', '')) + 1) AS g FROM nl JOIN fl USING (host, l) GROUP BY doc_id),
  b AS (SELECT d.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(dl.n, 0) AS n_dup_lines, coalesce(rw.n, 0) AS n_repeat_words, CAST(coalesce(g, 0) AS BIGINT) AS n_removed_words FROM d LEFT JOIN rw USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN gone USING (doc_id))
  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100*n_repeat_words > 30*n_words AS base_failed, NOT (n_words < 20 OR 100*n_repeat_words > 30*n_words) AND n_words - n_removed_words >= {least_kept}*n_words AS kept, n_removed_words FROM b"""

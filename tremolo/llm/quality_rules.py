@@ -44,9 +44,10 @@ def line_hashes(text: Column) -> Column:
 def quality_rules(docs: DataFrame, *, text: str = "text", key: str = "doc_id", host: str = "source", max_docs: int = 20, least_kept: float = 0.3, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
     """One row per input row: key, statistics, n_removed_words, base_failed and kept.
 
-    A normalised line found in more than ``max_docs`` different texts of one host is removed from
-    every document of that host; a document that keeps less than ``least_kept`` of its words is
-    rejected. Exact copies count as one text, so copies alone never deplete a document.
+    A normalised line found in more than ``max_docs`` documents of one host is removed from every
+    document of that host; a document that keeps less than ``least_kept`` of its words is rejected.
+    Rows with one key and one text are one document, however often they repeat; copies of a text
+    under different keys are different documents, and rows without a key count each.
 
     Null and empty texts have no words and fail the base rules. Null hosts form one host. Null keys
     and repeated rows are judged like any others, each giving a row. Other columns are ignored; an
@@ -70,9 +71,12 @@ def quality_rules(docs: DataFrame, *, text: str = "text", key: str = "doc_id", h
         line_hashes(F.col("t")).alias("lines"),
     )
     stats = ws.save(stats, "stats")
-    # Copies of a text within a host collapse before their lines are counted.
+    # Copies of a text within a host collapse before their lines are counted; their number goes along.
     texts = stats.groupBy("host", "th").agg(F.first("lines").alias("lines"))
-    per_line = texts.select("host", F.explode(F.array_distinct(F.col("lines.h"))).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_docs).select("host", "h")
+    keys = stats.groupBy("host", "th", "doc_id").agg(F.count(F.lit(1)).alias("rows"))
+    copies = keys.groupBy("host", "th").agg(F.sum(F.when(F.col("doc_id").isNull(), F.col("rows")).otherwise(1)).alias("docs"))
+    lines = texts.join(copies, ["host", "th"]).select("host", "docs", F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))
+    per_line = lines.groupBy("host", "h").agg(F.sum("docs").alias("n")).where(F.col("n") > max_docs).select("host", "h")
     # Tables of their own, so that the joins can split the rows of a line or text that many have.
     per_line = ws.save(per_line, "frequent")
     found = texts.select("host", "th", F.explode("lines").alias("x")).select("host", "th", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
