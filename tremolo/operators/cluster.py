@@ -12,19 +12,20 @@ from tremolo.operators.similarity import distances
 from tremolo.operators.vectors import matrix, nearest
 
 
-def build(d: np.ndarray, k: int) -> list[int]:
-    """Starting medoids: the row of least total distance, then those that gain most.
+#: Rows whose distances to each other are held at once.
+MAX_CLUSTERED = 5_000
 
-    A row's gain goes only to the nearest row that isn't a medoid yet, itself excepted.
-    """
-    medoids = [int(d.sum(1).argmin())]
-    off = d + np.diag(np.full(len(d), np.inf))
-    while len(medoids) < k:
-        free = np.setdiff1d(np.arange(len(d)), medoids)
-        own = d[:, medoids].min(1)
-        near = off[:, free].argmin(1)
-        gain = np.maximum(own - off[:, free].min(1), 0)
-        medoids.append(int(free[np.bincount(near, gain, len(free)).argmax()]))
+
+def build(d: np.ndarray, k: int) -> list[int]:
+    """Starting medoids: the row of least total distance, then each time that which shortens the
+    distances of all rows to their nearest medoid most, the first of equal ones."""
+    medoids: list[int] = []
+    nearest_one = np.full(len(d), np.inf)
+    for _ in range(min(k, len(d))):
+        totals = np.minimum(nearest_one[:, None], d).sum(0)
+        totals[medoids] = np.inf
+        medoids.append(int(totals.argmin()))
+        nearest_one = np.minimum(nearest_one, d[:, medoids[-1]])
     return sorted(medoids)
 
 
@@ -47,8 +48,8 @@ def pam(d: np.ndarray, k: int, rounds: int = 20) -> tuple[list[int], np.ndarray,
 
 
 def pam_table(df: DataFrame, k: int) -> tuple[list[int], DataFrame]:
-    """Medoid ids of a bounded table and every row with its medoid."""
-    ids, x, _ = matrix(df)
+    """Medoid ids and every row with its medoid; they come from MAX_CLUSTERED rows at most, by hash."""
+    ids, x, _ = matrix(df, most=MAX_CLUSTERED)
     medoids, _, _ = pam(distances(x, x), k)
     centres = [(int(ids[m]), x[m].tolist()) for m in medoids]
     return [c for c, _ in centres], nearest(df, centres)

@@ -71,11 +71,8 @@ def weighted_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learning.weighted_vote(votes)
 
 
-def _train(spark: SparkSession, sf_dir: str, classes: int | None = None) -> DataFrame:
-    df = learning.split(vectors(spark, sf_dir, 8))
-    if classes:
-        df = df.withColumn("label", F.col("label") % classes)
-    return learning.with_features(df)
+def _train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return learning.with_features(learning.split(vectors(spark, sf_dir)))
 
 
 @query()
@@ -92,13 +89,13 @@ def rf_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.tuning import ParamGridBuilder
 
     grid = ParamGridBuilder().addGrid(f.getStages()[-1].maxDepth, [3, 5]).build()
-    best, _ = learning.cross_validated(df.where("split = 'train'"), f, grid, folds=3)
+    best, _ = learning.cross_validated(df.where("split = 'train'"), f, grid, folds=10)
     return best.transform(df.where("split = 'test'")).select("id", F.col("label").cast("bigint").alias("label"), F.col("prediction").cast("bigint").alias("predicted"))
 
 
 @query()
 def gbt_ovr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _train(spark, sf_dir, 3)
+    df = _train(spark, sf_dir)
     m = learning.boosted(depth=3, rounds=3).fit(df.where("split = 'train'"))
     return m.transform(df.where("split = 'test'")).select("id", F.col("label").cast("bigint").alias("label"), F.col("prediction").cast("bigint").alias("predicted"))
 
@@ -106,7 +103,7 @@ def gbt_ovr(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bayes_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth and size of a forest chosen by a Gaussian process on held-out accuracy."""
-    df = _train(spark, sf_dir, 3).cache()
+    df = _train(spark, sf_dir).cache()
     train, test = df.where("split = 'train'"), df.where("split = 'test'")
 
     def score(p: dict[str, float]) -> float:
@@ -120,7 +117,7 @@ def bayes_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def rusboost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _train(spark, sf_dir, 3)
+    df = _train(spark, sf_dir)
     models, weights = learning.rusboost(df, 0, rounds=2, trees=3)
     return learning.boosted_votes(df, models, weights)
 
@@ -139,21 +136,19 @@ def _folders(spark: SparkSession, name: str) -> tuple[str, str]:
 
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tremolo-")
     base = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
     return f"{base}/out", f"{base}/state"
 
 
-@query("WITH s AS (SELECT user_id AS rec, time_bucket(INTERVAL '1 day', ts) AS start, value AS x FROM events), m AS (SELECT max(ts) AS top FROM events) SELECT rec, round(sum(x), 4) AS total, count(*) AS n FROM s GROUP BY rec")
+@query("WITH s AS (SELECT user_id AS rec, time_bucket(INTERVAL '1 day', ts) AS start, value AS x FROM events) SELECT rec, strftime(start, '%Y-%m-%d') AS start, round(avg(x), 6) AS mean, count(*) AS n FROM s GROUP BY rec, s.start HAVING s.start + INTERVAL '1 day' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'")
 def stream_tumbling_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily means of a stream in complete mode, rolled up again so that no window is still open."""
-    daily = _stream(spark, sf_dir).groupBy(F.window("ts", "1 day"), "rec").agg(F.avg("x").alias("mean"), F.count(F.lit(1)).alias("n")).select("rec", F.col("window.start").alias("start"), "mean", "n")
-    name = f"tumbling_{id(daily)}"
-    q = daily.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).option("checkpointLocation", _folders(spark, "tumbling")[1]).start()
-    q.awaitTermination()
-    return spark.table(name).groupBy("rec").agg(F.round(F.sum(F.col("mean") * F.col("n")), 4).alias("total"), F.sum("n").alias("n"))
+    """Daily means of a stream, each window written as Parquet once the watermark, an hour late, has passed it."""
+    daily = flows.tumbling_means(_stream(spark, sf_dir), "1 day", "1 hour")
+    closed = flows.run_to_end(daily, *_folders(spark, "tumbling"))
+    return closed.select("rec", F.date_format("start", "yyyy-MM-dd").alias("start"), F.round("mean", 6).alias("mean"), "n")
 
 
 @query(
