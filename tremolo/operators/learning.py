@@ -52,6 +52,15 @@ def report(df: DataFrame, label: str = "label", predicted: str = "predicted") ->
     return per.select("label", zero(F.col("tp"), F.col("made")).alias("precision"), zero(F.col("tp"), F.col("support")).alias("recall"), zero(2.0 * F.col("tp"), F.col("made") + F.col("support")).alias("f1"), "support")
 
 
+def report_with_averages(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
+    """report() with its rows' plain mean and their mean weighted by support; label is text."""
+    rows = report(df, label, predicted)
+    plain = [F.avg(c).alias(c) for c in ("precision", "recall", "f1")]
+    weighted = [(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(c) for c in ("precision", "recall", "f1")]
+    whole = lambda name, cols: rows.agg(*cols, F.sum("support").alias("support")).select(F.lit(name).alias("label"), "precision", "recall", "f1", "support")
+    return rows.withColumn("label", F.col("label").cast("string")).unionByName(whole("macro avg", plain)).unionByName(whole("weighted avg", weighted))
+
+
 def scores(df: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
     """One row: accuracy, f1_macro (unweighted mean over classes) and f1_micro."""
     r = report(df, label, predicted)
@@ -101,6 +110,24 @@ def cross_validated(df: DataFrame, estimator, grid: list | None = None, folds: i
     return m.bestModel, m.avgMetrics
 
 
+def evaluated(train: DataFrame, test: DataFrame, estimator, grid: list | None = None, folds: int = 10, metric: str = "logLoss") -> tuple[object, DataFrame, DataFrame]:
+    """(model, report with averages, predictions): the best point by cross-validation, fitted on all of train."""
+    model, _ = cross_validated(train, estimator, grid, folds, metric=metric)
+    predictions = model.transform(test).select(F.col("prediction").cast("bigint").alias("y_pred"), F.col("label").cast("bigint").alias("y_test"))
+    return model, report_with_averages(predictions, "y_test", "y_pred"), predictions
+
+
+def search_boosted(df: DataFrame, bounds: dict[str, tuple[float, float]], folds: int = 10, steps: int = 1, start: int = 2, seed: int = 33) -> tuple[dict[str, float], float]:
+    """(parameters, accuracy): boosted trees by cross-validated accuracy; bounds of depth, rate, rounds or gamma."""
+    whole = {"depth", "rounds"}
+
+    def score(p: dict[str, float]) -> float:
+        trees = boosted(**{k: int(round(v)) if k in whole else v for k, v in p.items()}, seed=seed)
+        return cross_validated(df, trees, folds=folds, metric="accuracy")[1][0]
+
+    return bayes_search(score, bounds, steps, start, seed)
+
+
 def bayes_search(score, bounds: dict[str, tuple[float, float]], steps: int = 5, start: int = 4, seed: int = 33) -> tuple[dict[str, float], float]:
     """Parameters of the highest score: a Gaussian process on the points tried picks the next by expected gain."""
     rng = np.random.default_rng(seed)

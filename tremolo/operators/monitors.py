@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, is_dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tremolo.functions.kernels import mahalanobis
-from tremolo.operators.similarity import THETAS, kernel, theta_of
+from tremolo.operators.similarity import THETAS, ClassSimilarityModel, SimilarityModel, kernel, theta_of
 from tremolo.operators.vectors import covariance_matrix, matrix, moments
 
 
@@ -201,12 +201,31 @@ class Registry:
         return key in self.models
 
 
-def save_arrays(model, path: str) -> None:
-    """A dataclass model of numbers and arrays as JSON."""
+def _encoded(x):
+    if is_dataclass(x):
+        return {"kind": type(x).__name__, "state": {k: _encoded(v) for k, v in x.__dict__.items()}}
+    if isinstance(x, np.ndarray):
+        return {"array": x.tolist(), "type": str(x.dtype)}
+    if isinstance(x, (list, tuple)):
+        return [_encoded(v) for v in x]
+    return x.item() if isinstance(x, np.generic) else x
+
+
+def _decoded(x):
+    kinds = {k.__name__: k for k in (LinearMonitor, LinearClassMonitor, MahalanobisDetector, OneClassSvm, SimilarityModel, ClassSimilarityModel)}
+    if isinstance(x, list):
+        return [_decoded(v) for v in x]
+    if isinstance(x, dict):
+        return np.array(x["array"], x["type"]) if "array" in x else kinds[x["kind"]](**{k: _decoded(v) for k, v in x["state"].items()})
+    return x
+
+
+def save_model(model, path: str) -> None:
+    """Any monitor or detector, single or by class, as JSON."""
     with open(path, "w") as f:
-        json.dump({k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in model.__dict__.items()}, f)
+        json.dump(_encoded(model), f)
 
 
-def load_arrays(kind, path: str):
+def load_model(path: str):
     with open(path) as f:
-        return kind(**{k: np.array(v) if isinstance(v, list) else v for k, v in json.load(f).items()})
+        return _decoded(json.load(f))

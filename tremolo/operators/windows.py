@@ -67,6 +67,11 @@ def downsample(s: DataFrame, rate: int) -> DataFrame:
     return s.groupBy("rec", F.floor(F.col("i") / rate).cast("bigint").alias("bin")).agg(F.avg("x").alias("x"))
 
 
+def elapsed(s: DataFrame, rate: float, into: str = "t") -> DataFrame:
+    """Adds the time since the first sample as an interval; rate is in samples a second."""
+    return s.withColumn(into, F.make_dt_interval(secs=(F.col("i") / F.lit(float(rate))).cast("decimal(18,6)")))
+
+
 def linear_interp(s: DataFrame, at: str | None = None) -> DataFrame:
     """Fills null and NaN samples on the line between their valid neighbours, flat beyond the ends."""
     t = F.col(at) if at else F.col("i").cast("double")

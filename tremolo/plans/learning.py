@@ -59,6 +59,16 @@ def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("label", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support")
 
 
+@query(
+    f"""WITH {_REPORT} SELECT CAST(label AS VARCHAR) AS label, round(prec, 6) AS precision, round(rec, 6) AS recall, round(f1, 6) AS f1, CAST(support AS BIGINT) AS support FROM r
+ UNION ALL SELECT 'macro avg', round(avg(prec), 6), round(avg(rec), 6), round(avg(f1), 6), CAST(sum(support) AS BIGINT) FROM r
+ UNION ALL SELECT 'weighted avg', round(sum(prec*support)/sum(support), 6), round(sum(rec*support)/sum(support), 6), round(sum(f1*support)/sum(support), 6), CAST(sum(support) AS BIGINT) FROM r"""
+)
+def report_averages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = learning.report_with_averages(_predicted(spark, sf_dir))
+    return r.select("label", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")), "support")
+
+
 @query(f"WITH {_REPORT}, a AS (SELECT avg(CASE WHEN label = predicted THEN 1.0 ELSE 0.0 END) AS acc, count(*) AS n FROM p) SELECT round(acc, 6) AS accuracy, round((SELECT avg(f1) FROM r), 6) AS f1_macro, round(acc, 6) AS f1_micro, n FROM a")
 def f1_macro_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = learning.scores(_predicted(spark, sf_dir))
