@@ -61,7 +61,7 @@ def spectral_table(recordings: DataFrame, rate: float = 5e4, low: float = 5, hig
         return pd.DataFrame(rows, columns=names, dtype=float)
 
     got = recordings.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("i", *channels))).alias("s"))
-    arrays = F.struct(*(F.transform("s", lambda v, c=c: v[c]).alias(c) for c in channels))
+    arrays = F.struct(*(F.col(f"s.{c}").alias(c) for c in channels))  # a field of an array of structs is an array
     return got.select("path", run(arrays).alias("f")).select("path", "f.*")
 
 
