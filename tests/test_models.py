@@ -62,6 +62,14 @@ def test_large_tables_are_sampled(spark):
     assert len(ids) == 100 and (ids == again).all() and (np.diff(ids) > 0).all() and (x[:, 0] == ids).all()
 
 
+def test_extreme_rows(spark):
+    r = np.random.default_rng(6)
+    x = r.integers(-3, 4, (200, 5)).astype(float)  # many ties
+    df = _table(spark, x, np.zeros(200)).repartition(6)
+    want = {int(i) for k in range(5) for i in (x[:, k].argmax(), x[:, k].argmin())}
+    assert {r.id for r in vectors.extreme_rows(df, 5).collect()} == want and vectors.extreme_rows(df.limit(0), 5).count() == 0
+
+
 def test_sbm_estimate(spark, data):
     ids, x, y = data
     m = similarity.SimilarityModel(gamma=0.5).fit(_binary(spark, SF), "original")
