@@ -26,6 +26,20 @@ def test_urls_odd_rows(spark):
     assert judge_urls(pages.limit(0), queries.RULES).count() == 0 and judge_urls(pages, []).where("verdict = 'allow'").count() == len(rows)
 
 
+def test_lists_can_be_tables(spark, tmp_path):
+    from tremolo.llm import url_filter
+
+    r = random.Random(8)
+    entries = [(f"H{r.randint(0, 300)}.org" + r.choice(["", "/", "/a/", f"/{r.randint(0, 9)}"]), r.choice(["allow", "block"])) for _ in range(2000)]
+    table = spark.createDataFrame([*entries, (None, "block")], "entry string, verdict string").repartition(5)
+    one, two = (open(f(x, f"{tmp_path}/{f.__name__}"), "rb").read() for f, x in ((url_filter.build_index, entries), (url_filter.write_index, table)))
+    assert one == two and len(one) > 5000
+    pages = spark.createDataFrame([(i, f"http://h{i % 310}.org/{i % 11}") for i in range(900)], "page_id long, url string")
+    want = url_filter.judge_urls(pages, entries, ["h305.org", "h9.org/3"])
+    got = url_filter.judge_urls(pages, table, spark.createDataFrame([("h305.org",), ("h9.org/3",)], "entry string"))
+    assert sorted(map(str, want.collect())) == sorted(map(str, got.collect()))
+
+
 def test_values_beside_marks_are_found_at_every_place(spark):
     """Verbatim copies of items with digits behind / : . , - + and of the same with other values."""
     from tremolo.llm.decontaminate import find_leaks

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import shutil
 import struct
 import tempfile
 from collections.abc import Iterable
@@ -58,6 +59,48 @@ def build_index(rules: Iterable[tuple[str, str]], path: str) -> str:
     return path
 
 
+def write_index(rules: DataFrame, path: str) -> str:
+    """As build_index, from a table (entry, verdict) of any size up to MAX_RULES; nulls don't count.
+
+    Spark sorts the entries by key; the driver streams them into the file and holds none.
+    """
+    known = rules.where("entry is not null").select("entry", F.col("verdict").alias("v"))
+    bad = known.where("v is null or v not in ('allow', 'block')").first()
+    if bad:
+        raise ValueError(f"verdict {bad.v!r} of rule {bad.entry!r}")
+
+    def keyed(batches):
+        for batch in batches:
+            texts = ["".join(split_rule(r)) for r in batch.column(0).to_pylist()]
+            keys = np.fromiter((xxhash.xxh64_intdigest(t.encode()) for t in texts), np.uint64, len(texts))
+            lengths = [len(split_rule(t)[1]) for t in texts]
+            # Flipping the top bit gives signed numbers the order of unsigned ones.
+            order = (keys ^ np.uint64(1 << 63)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(order), pa.array(texts, pa.string()), pa.array(lengths, pa.int32()), pa.array([v == "block" for v in batch.column(1).to_pylist()], pa.bool_())], ["key", "text", "length", "block"])
+
+    sorted_rows = known.mapInArrow(keyed, "key bigint, text string, length int, block boolean").groupBy("key", "text", "length").agg(F.max("block").alias("block"))
+    lengths = [r.length for r in sorted_rows.select("length").distinct().orderBy("length").collect()]  # path lengths, few
+    n = 0
+    with open(path + ".keys", "wb") as keys, open(path + ".offsets", "wb") as offsets, open(path + ".blob", "wb") as blob:
+        at = 0
+        for r in sorted_rows.orderBy("key", "text").toLocalIterator(prefetchPartitions=True):
+            n += 1
+            if n > MAX_RULES:
+                raise ValueError(f"more than {MAX_RULES} rules; an index holds no more")
+            keys.write(struct.pack("<Q", (r.key & (1 << 64) - 1) ^ 1 << 63))
+            offsets.write(struct.pack("<Q", at))
+            at += blob.write(bytes([r.block]) + r.text.encode())
+        offsets.write(struct.pack("<Q", at))
+    with open(path, "wb") as f:
+        f.write(MAGIC + struct.pack("<III", n, len(lengths), 0))
+        f.write(np.array(lengths + [0] * (len(lengths) % 2), "<u4").tobytes())
+        for part in ("keys", "offsets", "blob"):
+            with open(f"{path}.{part}", "rb") as x:
+                shutil.copyfileobj(x, f)
+            os.remove(f"{path}.{part}")
+    return path
+
+
 class DigestArray:
     """The mapped index: vectorised binary search on keys, then the stored string decides."""
 
@@ -127,7 +170,7 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], blocklist: Iterable[str] = (), *, url: str = "url", key: str = "page_id") -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] | DataFrame, blocklist: Iterable[str] | DataFrame = (), *, url: str = "url", key: str = "page_id") -> DataFrame:
     """One row per input row: key as page_id, host, path, rule, verdict and listed.
 
     ``rules`` are (host and path prefix, 'allow' or 'block'); the longest that fits decides and is
@@ -136,15 +179,16 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]], blocklist: It
     urls and urls without '://' have empty host and path, fit nothing and are allowed. Repeated rows
     and null keys stay. Other columns are ignored; an empty table gives an empty result.
 
-    Both indexes are built from driver-side lists of at most MAX_RULES entries and reach each
-    executor once as files; a new executor fetches them again.
+    Rules and blocklist can be tables too, (entry, verdict) and (entry). Both indexes have MAX_RULES
+    entries at most and reach each executor once as files; a new executor fetches them again.
     """
     spark = pages.sparkSession
     folder = tempfile.mkdtemp(prefix="digests-")
     names = []
-    for kind, entries in (("rules", rules), ("listed", ((x, "block") for x in blocklist))):
-        path = build_index(entries, os.path.join(folder, kind))
-        name = f"{kind}-{xxhash.xxh3_128_hexdigest(open(path, 'rb').read())}.sda"
+    listed = blocklist.select("entry", F.lit("block").alias("verdict")) if isinstance(blocklist, DataFrame) else ((x, "block") for x in blocklist)
+    for kind, entries in (("rules", rules), ("listed", listed)):
+        path = (write_index if isinstance(entries, DataFrame) else build_index)(entries, os.path.join(folder, kind))
+        name = f"{kind}-{xxhash.xxh3_128_hexdigest(np.memmap(path, np.uint8, 'r'))}.sda"
         os.rename(path, os.path.join(folder, name))
         if not os.path.exists(SparkFiles.get(name)):
             spark.sparkContext.addFile(os.path.join(folder, name))
