@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tremolo.functions.kernels import mahalanobis
-from tremolo.operators.similarity import THETAS, ClassSimilarityModel, SimilarityModel, kernel, theta_of
-from tremolo.operators.vectors import covariance_matrix, matrix, moments
+from tremolo.operators.similarity import THETAS, ClassSimilarityModel, SimilarityModel, kernel, products, spread, theta_of
+from tremolo.operators.vectors import Chunks, covariance_matrix, matrix, moments, whole
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -134,7 +134,10 @@ class MahalanobisDetector:
 
 @dataclass
 class OneClassSvm:
-    """The nu one-class machine with a Gaussian kernel, on a bounded sample, by pairwise updates."""
+    """The nu one-class machine with a Gaussian kernel, on all rows, by pairwise updates.
+
+    An update takes two columns of the kernel matrix, which are computed as they are needed.
+    """
 
     nu: float = 0.1
     gamma: float = 0.1
@@ -152,35 +155,39 @@ class OneClassSvm:
         """Minimises a'Ka / 2 with 0 <= a <= 1 / (nu n) and sum 1: weight moves to the least gradient."""
         n = len(x)
         top = 1 / (self.nu * n)
-        k = self._gram(x, x)
+        gram = replace(self, support=None, alpha=None)._gram
         a = np.zeros(n)
         full = int(self.nu * n)
         a[:full] = top
         if full < n:
             a[full] = 1 - full * top
-        g = k @ a
+        on = a > 0
+        g = spread(gram, x, x[on], a[on, None])[:, 0]
         for _ in range(self.max_itr):
             down, up = np.where(a > 1e-12, g, -np.inf), np.where(a < top - 1e-12, g, np.inf)
             i, j = int(down.argmax()), int(up.argmin())
             if g[i] - g[j] < self.tol:
                 break
-            move = min((g[i] - g[j]) / max(k[i, i] + k[j, j] - 2 * k[i, j], 1e-12), a[i], top - a[j])
+            k = gram(x, x[[i, j]])
+            move = min((g[i] - g[j]) / max(k[i, 0] + k[j, 1] - 2 * k[i, 1], 1e-12), a[i], top - a[j])
             a[i] -= move
             a[j] += move
-            g += move * (k[:, j] - k[:, i])
+            g += move * (k[:, 1] - k[:, 0])
         inner = (a > 1e-12) & (a < top - 1e-12)
         rho = float(g[inner].mean() if inner.any() else g[a > 1e-12].max())
         return replace(self, support=x[a > 1e-12], alpha=a[a > 1e-12], rho=rho)
 
     def fit(self, df: DataFrame) -> OneClassSvm:
-        return self.fit_rows(matrix(df)[1])
+        return self.fit_rows(whole(df)[1])
 
     def transform(self, df: DataFrame) -> DataFrame:
-        own = self
+        pieces = ((self.support[i : i + Chunks.ROWS], self.alpha[i : i + Chunks.ROWS, None]) for i in range(0, len(self.support), Chunks.ROWS))
+        chunks, gram, rho = Chunks(df.sparkSession, pieces), replace(self, support=None, alpha=None)._gram, self.rho
 
         @pandas_udf("double")
         def run(v: pd.Series) -> pd.Series:
-            return pd.Series(own._gram(np.stack(v), own.support) @ own.alpha - own.rho, v.index)
+            x = np.stack(v)
+            return pd.Series(sum(products(gram, x, s, a)[:, 0] for s, a in chunks) - rho, v.index)
 
         return df.withColumn("score", run("v")).withColumn("label", F.when(F.col("score") >= 0, 1).otherwise(-1).cast("bigint"))
 
