@@ -113,7 +113,7 @@ _AAKR = f"""{_PROTO}, w AS (SELECT v.id, v.v, p.v AS pv, 1/(1+0.5*{_dist('v.v',
 
 def _aakr(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, similarity.SimilarityModel]:
     df = _binary(spark, sf_dir)
-    ids, d, _ = vec.matrix(vec.extrema_prototypes(df.where("label > 0"), 64, 5))
+    _, d, _ = vec.whole(vec.extrema_prototypes(df.where("label > 0"), 64, 5))
     return df, similarity.SimilarityModel(gamma=0.5, auto_associative=True).with_prototypes(d)
 
 
