@@ -6,7 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ def words(text: str | None) -> list[bytes]:
 
 #: Entries that a Python worker remembers at most, of the one operator that it works for.
 MEMO = 600_000
-_MEMO_IN_USE: list[dict] = []
+_IN_USE: list[tuple] = []
 
 
 def give_back() -> None:
@@ -38,15 +38,19 @@ def give_back() -> None:
         pass
 
 
-def claim(memo: dict) -> None:
-    """Called as a task starts: what the worker remembers for other operators is forgotten.
+def claim(*memos: dict, forget: Callable[[], object] | None = None) -> None:
+    """Called as a task starts, with all memos of its operator: what the worker remembers for others is forgotten.
 
-    Workers live on from stage to stage, and their memos would add up.
+    Workers live on from stage to stage, and their memos would add up. forget: called when another operator
+    takes over, to let go of what can be loaded again.
     """
-    for other in _MEMO_IN_USE:
-        if other is not memo:
-            other.clear()
-    _MEMO_IN_USE[:] = [memo]
+    for others, drop in _IN_USE:
+        if others[0] is not memos[0]:
+            for other in others:
+                other.clear()
+            if drop:
+                drop()
+    _IN_USE[:] = [(memos, forget)]
     give_back()
 
 

@@ -323,7 +323,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str, *, text: str = "text", key: st
 
     def run(batches):
         model = load(vocabulary)
-        claim(model.memo)
+        claim(model.memo, model.older, model.pairs, forget=load.cache_clear)
         for batch in tidy(batches):
             rows = [_digests(model, x.as_py()) for x in batch.column(1)]
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
@@ -339,7 +339,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, *, text: str = "text", into: st
 
     def run(batches):
         model = load(vocabulary)
-        claim(model.memo)
+        claim(model.memo, model.older, model.pairs, forget=load.cache_clear)
         for batch in tidy(batches):
             at = batch.schema.get_field_index(text)
             ids = pa.array([model.encode(x.as_py()) for x in batch.column(at)], pa.list_(pa.int32()))
@@ -353,7 +353,7 @@ def bpe_decode(docs: DataFrame, vocabulary: str, *, ids: str = "ids", into: str
     """All columns of docs and the text of each array of ids; null and empty arrays give ''."""
     def run(batches):
         model = load(vocabulary)
-        claim(model.memo)
+        claim(model.memo, model.older, model.pairs, forget=load.cache_clear)
         for batch in tidy(batches):
             at = batch.schema.get_field_index(ids)
             out = pa.array([model.decode(x.as_py() or []) for x in batch.column(at)], pa.string())

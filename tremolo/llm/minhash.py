@@ -228,18 +228,19 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     def compared(units: DataFrame, name: str) -> DataFrame:
         """Links of (rep, unit, second, c): texts travel to their units, as they are smaller than their sets."""
         texts = _likely(source.select(F.col("doc_id").alias("rep"), "t"), units)
-        return ws.save(units.join(texts, "rep").groupBy("unit").applyInPandas(compare, f"u {kind}, v {kind}"), name)
-
-    def compare(pdf):
-        import pandas as pd
+        return ws.save(units.join(texts, "rep").groupBy("unit").applyInArrow(compare, f"u {kind}, v {kind}"), name)
 
+    def compare(table: pa.Table) -> pa.Table:
         claim(_hasher())
-        pdf = pdf.sort_values(["second", "rep"], kind="stable")
-        left = int((~pdf["second"]).sum()) if pdf["second"].any() else 0
-        sets = [shingles(t, k) for t in pdf["t"]]
+        rep, second = table["rep"].to_numpy(), table["second"].to_numpy()
+        by = np.lexsort((rep, second))
+        left = int((~second).sum()) if second.any() else 0
+        sets = [shingles(t.as_py(), k) for t in table["t"].take(by)]
         # A byte of each minimum is enough to refuse a pair; what it lets pass is compared in full.
         sigs = np.stack([signature(x, bands * rows).astype(np.uint8) if len(x) else np.zeros(bands * rows, np.uint8) for x in sets])
-        return pd.DataFrame(verify(pdf["rep"].to_numpy(), sets, sigs, left, threshold, pdf["c"].to_numpy()), columns=["u", "v"], dtype="int64")
+        found = verify(rep[by], sets, sigs, left, threshold, table["c"].to_numpy()[by])
+        ends = pa.schema([(name, table.schema.field("rep").type) for name in ("u", "v")])
+        return pa.table([[u for u, _ in found], [v for _, v in found]], schema=ends)
 
     # A small bucket is one unit. Those of a big one meet its pivot, in blocks.
     own = F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("blocks")).cast("int")

@@ -196,7 +196,7 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, *, text: str = "text"
 
     def run(batches):
         own = _load(data)
-        claim(own.memo)
+        claim(own.memo, forget=_load.cache_clear)
         for batch in tidy(batches):
             scores = [own.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], ["doc_id", "score"])
@@ -213,7 +213,7 @@ def reject_toxic(docs: DataFrame, model: ToxicityModel, *, text: str = "text", t
 
     def run(batches):
         own = _load(data)
-        claim(own.memo)
+        claim(own.memo, forget=_load.cache_clear)
         for batch in tidy(batches):
             at = batch.schema.get_field_index(text)
             keep = pa.array([own.score(t.as_py()) < threshold for t in batch.column(at)], pa.bool_())
