@@ -42,11 +42,17 @@ def with_sample(df: DataFrame, *order: str) -> DataFrame:
     """Adds Sample, numbered from 0 in the given order.
 
     Ranges are sorted in parallel, and each range starts from the count of those before it, so no
-    task sees all rows.
+    task sees all rows. The ends of the ranges are fixed first, from rows of least hash: what
+    repartitionByRange draws differs from one reading of the plan to the next, so that rows were
+    counted by other ranges than they were numbered in.
     """
     spark = df.sparkSession
-    ranged = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    tagged = ranged.withColumn("_p", F.spark_partition_id())
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(*order)
+    drawn = keys.orderBy(F.xxhash64(*order), *order).limit(100 * n).orderBy(*order).collect()
+    ends = [drawn[k * len(drawn) // n] for k in range(1, n)] if drawn else []
+    row, each = F.struct(*order), [F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, keys.schema, strict=True))) for r in ends]
+    tagged = df.withColumn("_p", F.size(F.filter(F.array(*each), lambda end: end < row)) if each else F.lit(0))
     counts = tagged.groupBy("_p").agg(F.count(F.lit(1)).alias("n"))
     starts = counts.select("_p", (F.sum("n").over(Window.orderBy("_p")) - F.col("n")).alias("_start"))
     at = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
