@@ -145,7 +145,8 @@ def theta_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sbm_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _binary(spark, sf_dir)
     m = similarity.SimilarityModel(gamma=0.5).fit(df, "original")
-    return m.transform(m.estimate(df)).select("id", *(F.round(F.col("estimate")[k], 4).alias(f"e{k + 1}") for k in range(64)), F.round("score", 5).alias("score"), "predicted")
+    # One estimate a row gives both, and the model is sent once.
+    return m.transform(df, residual=True).select("id", *(F.round(F.col("v")[k] - F.col("residual")[k], 4).alias(f"e{k + 1}") for k in range(64)), F.round("score", 5).alias("score"), "predicted")
 
 
 def _fit_query(method: str):
